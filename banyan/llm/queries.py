@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from banyan.llm import history
-from banyan.session import table
+from banyan.llm import cuts, history, mixing, tokens
+from banyan.session import durable, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -13,5 +14,42 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated_rows(table(spark, d, "review_fact"), "ingest_id", "batch_no", "store_id", "reviewer", "review_text")
 
 
-QUERIES = {"p4_found": p4_found}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ids) of each document by the byte-level tokenizer of 50k ids."""
+    return tokens.encode(table(spark, d, "documents"), "text", tokens.tokenizer_path(), ("doc_id",))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents come back as they were from their ids."""
+    e = tokens.encode(table(spark, d, "documents"), "text", tokens.tokenizer_path(), ("doc_id", "text"))
+    same = tokens.decode(F.col("ids"), tokens.tokenizer_path()) == F.coalesce("text", F.lit(""))
+    return e.agg(F.count("*").alias("documents"), F.count_if(same).alias("same"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, d, "documents"), "text", tokens.tokenizer_path(), ("doc_id", "source"))
+    return mixing.mix(durable(sizes), table(spark, d, "mix_target"))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, tokens, copies) of each document of the mix."""
+    return _mixed(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches, a row for each target."""
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_target"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of each document whose text was cut."""
+    return cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text").filter("cut").select(F.col("key").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    return cuts.cut_rates(cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text"))
+
+
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
