@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banyan.llm import cuts, history, mixing, tokens
+from banyan.llm import addresses, cuts, history, mixing, tokens
 from banyan.session import durable, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_a, rec_b): address records of different stores that denote the same house."""
+    return addresses.same_house(addresses.address_records(table(spark, d, "store_master"), table(spark, d, "store_source_map"), table(spark, d, "normalized_location")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """(kept_id, dup_id) of each review row that tells the same review as an earlier row of its store."""
     return history.repeated_rows(table(spark, d, "review_fact"), "ingest_id", "batch_no", "store_id", "reviewer", "review_text")
@@ -51,5 +56,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return cuts.cut_rates(cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
