@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banyan.llm import addresses, cuts, history, mixing, tokens
+from banyan.llm import addresses, cuts, entities, history, mixing, survivors, tokens
 from banyan.session import durable, table
 
 
@@ -14,11 +14,28 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_house(addresses.address_records(table(spark, d, "store_master"), table(spark, d, "store_source_map"), table(spark, d, "normalized_location")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, row_key) of each representative that dominates its group."""
+    a = survivors.store_rows(table(spark, d, "store_master")).select(F.lit("store_master").alias("tab"), "row_key", "dominates")
+    b = survivors.source_rows(table(spark, d, "store_source_map")).select(F.lit("store_source_map").alias("tab"), "row_key", "dominates")
+    return a.unionByName(b).filter("dominates").select("tab", "row_key")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """(kept_id, dup_id) of each review row that tells the same review as an earlier row of its store."""
     return history.repeated_rows(table(spark, d, "review_fact"), "ingest_id", "batch_no", "store_id", "reviewer", "review_text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(store_id, google_place_id) of the stores and map places that are the same shop."""
+    return entities.match_shops(table(spark, d, "store_master")).select("store_id", F.col("place_id").alias("google_place_id"))
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with the confidence of each."""
+    return entities.match_shops(table(spark, d, "store_master"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of each document by the byte-level tokenizer of 50k ids."""
     return tokens.encode(table(spark, d, "documents"), "text", tokens.tokenizer_path(), ("doc_id",))
@@ -56,5 +73,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return cuts.cut_rates(cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
