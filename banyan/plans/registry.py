@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from banyan.plans import core_problems
+from banyan.plans import base, core_problems
+from banyan.plans import conform_queries, graph_queries, retrieval_queries, scalar_queries, stream_queries  # noqa: F401  registers queries
 
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
+QUERIES = {**core_problems.QUERIES, **base.QUERIES}
+SQL = {**core_problems.SQL, **base.SQL}
