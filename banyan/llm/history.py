@@ -33,23 +33,40 @@ from pyspark.sql import functions as F
 
 from banyan.session import STAND_INS, durable, shared_dir, stored
 
-SHINGLE, WINDOW, MIN_CHARS = 9, 3, 40
+SHINGLE, WINDOW, MIN_CHARS = 8, 5, 40
 #: The ready-made tags of the app, and words that mark a copy without telling more.
 TAGS = ("gọn gàng sạch", "sẽ đặt lại", "giao nhanh gọn", "hơi nguội", "phần đầy đặn", "hợp túi tiền", "nhạt vị", "gói hàng kỹ", "thiếu món", "ngon tuyệt")
 ADDED = ("review", "p/s", "cập nhật", "đã sửa", "nhé mọi người")
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def fold(t: str) -> str:
     """Lower case without accents; as many characters as the composed text."""
-    t = unicodedata.normalize("NFD", unicodedata.normalize("NFC", t).lower())
-    return "".join(c for c in t if not unicodedata.combining(c)).replace("đ", "d")
+    return _MARKS.sub("", unicodedata.normalize("NFD", t.lower())).replace("đ", "d")
+
+
+def fold_ascii(t: str) -> str:
+    """Like fold, without what is not ASCII."""
+    return unicodedata.normalize("NFD", t.lower().replace("đ", "d").replace("…", "...")).encode("ascii", "ignore").decode()
+
 
+def _tree(words: list[str]) -> str:
+    """An alternation of words that branches at the first letter."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(x)})" for c, x in by.items())
 
-TAG = re.compile(rf"[\s,.;!]*\b(?:{'|'.join(map(fold, TAGS))})\b")
-MORE = re.compile(r"\S*(?:…|\.\.\.)(?:\s*xem them)?|\bxem them$")
-EXTRA = re.compile(rf"^\s*(?:{'|'.join(map(fold, ADDED[:-1]))})\s*:|\b{fold(ADDED[-1])}\b")
+
+TAG = re.compile(rf"\b(?:{_tree([fold(x) for x in TAGS])})\b")
+_prefixes = tuple(fold(x) + ":" for x in ADDED[:-1])
+_suffix = fold(ADDED[-1])
+MORE = "xem them"
 THOUSANDS = re.compile(r"(?<=\d)[.,](?=\d)")
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[a-z0-9]+")
+_EDGE = " ,.;!\n\r\t"
 _NONE = {fold(x) for x in STAND_INS}
 
 
@@ -57,15 +74,28 @@ def own_words(text: str | None) -> list[str]:
     """The folded own words; none where they have fewer than MIN_CHARS characters."""
     if not text or len(text) < MIN_CHARS:
         return []
-    t = EXTRA.sub(" ", MORE.sub(" ", TAG.sub(" ", fold(text))))
-    t = t.strip(" ,.;!\n\r\t")
+    t = TAG.sub("", fold_ascii(text)).strip(_EDGE)
+    if len(t) < MIN_CHARS:
+        return []
+    if t.endswith(MORE):
+        t = t[: -len(MORE)].rstrip()
+    if t.endswith("..."):
+        cut = t.rstrip(".")
+        t = cut if cut[-1:].isspace() else cut.rpartition(" ")[0]  # the word at the cut may be a part
+    if _suffix in t:
+        t = t.replace(_suffix, " ")
+    t = t.lstrip()
+    for x in _prefixes:
+        if t.startswith(x):
+            t = t[len(x) :]
+    t = t.strip(_EDGE)
     if len(t) < MIN_CHARS:
         return []
     return WORD.findall(THOUSANDS.sub("", t))
 
 
 def folded_name(name: str | None) -> str:
-    n = " ".join(fold(name).split()) if name else ""
+    n = " ".join(fold_ascii(name).split()) if name else ""
     return "" if n in _NONE else n
 
 
@@ -96,36 +126,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def fingerprints(words: list[list[str]], keys: list[str]) -> list[np.ndarray]:
-    """The winnowed fingerprints of each text; the arithmetic runs over all texts at once."""
-    n = np.array([len(w) for w in words])
+def fingerprints(words: list[list[str]], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, their number a text): the winnowed fingerprints of texts that have words; all texts are hashed at once."""
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    if not len(n):
+        return np.zeros(0, np.int64), n
     flat = np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum()))
-    k = SHINGLE
+    salt = np.fromiter((_hash(k) for k in keys), np.uint64, len(keys))
+    # short texts have one window over all their words; others k words a window and the least of WINDOW windows
+    starts = np.cumsum(n) - n
     with np.errstate(over="ignore"):
+        h = _mix(flat)
         sums = np.zeros(len(flat), np.uint64)
-        for i in range(k):
-            sums[: len(flat) - i] = sums[: len(flat) - i] * np.uint64(0x9E3779B97F4A7C15) + _mix(flat[i:])
+        for i in range(SHINGLE):
+            sums[: len(flat) - i] = sums[: len(flat) - i] * np.uint64(0x9E3779B97F4A7C15) + h[i:]
         sums = _mix(sums)
-        out, at = [], 0
-        for size, key in zip(n, keys):
-            if not size:
-                out.append(np.zeros(0, np.int64))
-                continue
-            salt = np.uint64(_hash(key))
-            if size <= k:
-                h = np.uint64(0)
-                for x in flat[at : at + size]:
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + x
-                s = np.array([h])
+        least = sums.copy()
+        for i in range(1, WINDOW):
+            least[: len(flat) - i] = np.minimum(least[: len(flat) - i], sums[i:])
+        for r in np.flatnonzero(n < SHINGLE + WINDOW - 1):
+            a, b = starts[r], starts[r] + n[r]
+            if n[r] >= SHINGLE:
+                least[a] = sums[a : b - SHINGLE + 1].min()
             else:
-                s = sums[at : at + size - k + 1]
-                if len(s) > WINDOW:
-                    s = np.lib.stride_tricks.sliding_window_view(s, WINDOW).min(1)
-                else:
-                    s = s.min(keepdims=True)
-            out.append(_mix(np.unique(s) ^ salt).view(np.int64))
-            at += size
-    return out
+                x = np.uint64(0)
+                for y in h[a:b]:
+                    x = x * np.uint64(0x9E3779B97F4A7C15) + y
+                least[a] = _mix(x)
+        row = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(flat)) - starts[row]
+        take = (offset == 0) | (offset <= n[row] - SHINGLE - WINDOW + 1)
+        take[1:] &= (offset[1:] == 0) | (least[1:] != least[:-1])
+        return _mix(least[take] ^ salt[row[take]]).view(np.int64), np.bincount(row[take], minlength=len(n))
 
 
 def same_account(a: list[str], b: list[str], least: float = 0.8) -> bool:
@@ -134,6 +166,8 @@ def same_account(a: list[str], b: list[str], least: float = 0.8) -> bool:
         return True
     if len(a) > len(b):
         a, b = b, a
+    if len(set(a) & set(b)) < 0.6 * len(set(a)):  # cheap, and implied by what follows
+        return False
     m = SequenceMatcher(None, a, b, False)
     blocks = m.get_matching_blocks()
     shared = sum(x.size for x in blocks)
@@ -258,9 +292,8 @@ class FingerprintStore:
                 take = [i for i, w in enumerate(words) if w]
                 words = [words[i] for i in take]
                 s = b.take(pa.array(take, pa.int64()))
-                prints = fingerprints(words, [x or "" for x in s.column("__key").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in prints])]).astype(np.int32)
-                flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
+                flat, sizes = fingerprints(words, [x or "" for x in s.column("__key").to_pylist()])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 cols = [s.column("id"), pa.array([folded_name(x) for x in s.column("__name").to_pylist()], pa.string()), pa.array([" ".join(w) for w in words], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols + [s.column(c) for c in extra], ["id", "name", "words", "prints", *extra])
 
@@ -354,7 +387,7 @@ class FingerprintStore:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["new", "old", "new_name", "old_name"])
 
-        links = pairs.repartition("new").sortWithinPartitions("new", "old").mapInArrow(verify, "new bigint, old bigint, new_name string, old_name string")
+        links = pairs.repartition(tasks, "new").sortWithinPartitions("new", "old").mapInArrow(verify, "new bigint, old bigint, new_name string, old_name string")
         links = stored(links, f"links-{segment}")
 
         def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
