@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from banyan.session import STAND_INS, durable, shared_dir, stored
 
 SHINGLE, WINDOW, MIN_CHARS = 8, 5, 40
+#: The least share of a text's fingerprints that an earlier text must have to be compared with it word by word.
+COVERAGE = 0.12
 #: The ready-made tags of the app, and words that mark a copy without telling more.
 TAGS = ("gọn gàng sạch", "sẽ đặt lại", "giao nhanh gọn", "hơi nguội", "phần đầy đặn", "hợp túi tiền", "nhạt vị", "gói hàng kỹ", "thiếu món", "ngon tuyệt")
 ADDED = ("review", "p/s", "cập nhật", "đã sửa", "nhé mọi người")
@@ -316,11 +318,12 @@ class FingerprintStore:
         tasks = min(parts, int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         docs.repartition(tasks, "part").sortWithinPartitions("part", "id").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).collect()
 
-        prints = sketch.select("id", F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
+        prints = sketch.select("id", F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
                 fp, ids = t["fp"].to_numpy(), t["id"].to_numpy()
+                count = dict(zip(ids.tolist(), t["n"].to_pylist()))
                 new, old = [], []
                 starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
                 sizes = np.diff(np.concatenate([starts, [len(fp)]]))
@@ -347,12 +350,13 @@ class FingerprintStore:
                     old.append(seg["id"].to_numpy()[at])
                 a, b = np.concatenate(new), np.concatenate(old)
                 if len(a):
-                    pair = np.unique(np.stack([a, b], 1), axis=0)
-                    pair = pair[pair[:, 0] > pair[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["new", "old"])
+                    pair, shared = np.unique(np.stack([a, b], 1)[a > b], axis=0, return_counts=True)
+                    n = np.fromiter((count[x] for x in pair[:, 0].tolist()), np.int16, len(pair))
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(n), pa.array(shared.astype(np.int32))], ["new", "old", "n", "shared"])
 
         by_print = prints.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id")
-        pairs = by_print.mapInArrow(look_up, "new bigint, old bigint").distinct()
+        pairs = by_print.mapInArrow(look_up, "new bigint, old bigint, n smallint, shared int").groupBy("new", "old").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+        pairs = pairs.filter(F.col("shared") >= COVERAGE * F.col("n")).select("new", "old")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files: dict[tuple[str, int], tuple[np.ndarray, pa.Table] | None] = {}
