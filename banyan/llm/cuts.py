@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -133,6 +134,7 @@ def endings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
             for t in b.column("__text").to_pylist():
                 last: list[str] = []
                 n, s = 0, "whole"
+                t = unicodedata.normalize("NFC", t) if t else t
                 if t and t.strip():
                     n = base_length(t)
                     body, item = core(t)

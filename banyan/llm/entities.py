@@ -193,7 +193,7 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     return y
 
 
-PRIOR = dict(exact=3.0, near=3.0, kind_same=0.8, kind_differs=-5.0, house_same=4.0, street_same=-2.0, street_differs=-4.0, far_unknown=-0.5, log_m=-3.0, within_150=1.5, beyond_1000=-3.0, no_place=-0.5, proposed=1.5, rare=1.0)
+PRIOR = dict(exact=3.0, near=3.0, kind_same=0.8, kind_differs=-5.0, house_same=4.0, street_same=-2.0, street_differs=-4.0, far_unknown=-0.5, log_m=-3.0, within_150=1.5, beyond_1000=-3.0, no_place=0.0, proposed=2.5, rare=2.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
