@@ -225,7 +225,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]
             b = blocks.pop()
             blocks[-1][0] += b[0]
             blocks[-1][1] += b[1]
-    return [b[2] for b in blocks], [(b[0] + 0.5) / (b[1] + 1) for b in blocks]
+    return [b[2] for b in blocks], np.maximum.accumulate([(b[0] + 0.5) / (b[1] + 1) for b in blocks]).tolist()
 
 
 def match(stores: DataFrame, places: DataFrame, proposed: DataFrame, least: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banyan.llm import addresses, cuts, entities, history, mixing, survivors, tokens
-from banyan.session import durable, table
+from banyan.session import STAND_INS, durable, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,4 +74,26 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+_NOTHING = ", ".join("'" + x + "'" for x in STAND_INS)
+
+
+def _filled(columns: str, numbers: str = "") -> str:
+    real = [f"(lower(trim({c})) NOT IN ({_NOTHING}))" for c in columns.split()] + [f"({c} IS NOT NULL)" for c in numbers.split()]
+    return " + ".join(f"coalesce({x}, false)::INT" for x in real)
+
+
+def _trust(c: str) -> str:
+    return f"CASE WHEN lower(trim({c})) IN ('high', 'cao') THEN 3 WHEN lower(trim({c})) IN ('medium', 'med', 'trung bình') THEN 2 WHEN lower(trim({c})) IN ('low', 'thấp') THEN 1 ELSE 0 END"
+
+
+_MASTER = _filled(
+    "store_id canonical_name address ward district city primary_category status be_open_time be_close_time google_name google_query_name google_query_address google_address google_phone google_website google_place_id google_data_id google_open_state google_open_time google_close_time google_match_method",
+    "lat lng median_price_vnd be_rating_avg be_rating_count google_rating google_review_count google_match_score",
+)
+_MAP = _filled("store_id source_name source_store_key source_url source_name_raw address_raw note")
+_SOURCE = "CASE WHEN x IN ('top5recommendation', 'top5', 'betop5') THEN 'top5' WHEN x IN ('foodyhustplaces', 'foody', 'foodyhust') THEN 'foody' WHEN x IN ('googlemapsunique', 'googlemaps', 'gmaps') THEN 'google' ELSE x END"
+P2_SQL = f"""WITH r AS (SELECT 'store_master' AS tab, row_id AS row_key, store_id AS grp, {_trust('google_match_confidence')} AS t, {_MASTER} + coalesce(google_lat BETWEEN 8 AND 24 AND google_lng BETWEEN 100 AND 112, false)::INT AS f, updated_at AS a FROM store_master
+UNION ALL SELECT 'store_source_map', map_id, store_id || '|' || {_SOURCE}, {_trust('match_confidence')}, {_MAP}, crawled_at FROM (SELECT *, regexp_replace(lower(source_name), '[^a-z0-9]', '', 'g') AS x FROM store_source_map))
+SELECT tab, row_key FROM r WHERE EXISTS (SELECT 1 FROM r o WHERE o.tab = r.tab AND o.grp = r.grp AND o.row_key <> r.row_key)
+AND NOT EXISTS (SELECT 1 FROM r o WHERE o.tab = r.tab AND o.grp = r.grp AND o.row_key <> r.row_key AND (o.t > r.t OR o.f > r.f OR o.a > r.a OR (o.t = r.t AND o.f = r.f AND o.a = r.a)))"""
+SQL: dict[str, str] = {"p2_found": P2_SQL}
