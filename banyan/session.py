@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,19 @@ def build_session(cores: int = 8, memory: str = "16g", **conf: str) -> SparkSess
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started."""
+    sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[1])
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *sc.environment.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *(p for p in paths if p)])
+    if not sc.master.startswith("local["):  # executors may not see the driver's disk
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "banyan"), "zip", root, "banyan"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
