@@ -45,7 +45,7 @@ COUNTRY = ("viet nam", "vietnam", "vn")
 _floor = re.compile(rf"^(?:{FLOOR})[\s,]*")
 _number = re.compile(rf"(?:\b(?P<alley>ngach|ngo|ng\.?|hem|kiet|ngh\.)\s*(?:so\s*)?)?(?:\b(?:{HOUSE})\s*)?(?<![\w/])(?P<path>\d+[a-z]?(?:\s?/\s?\d+[a-z]?)*)(?![\w])")
 _road = re.compile(r"(?i)\bđường\b")
-_street = re.compile(rf"^(?:d\.|pho|p\.)\s*(?=\S)|^(?:{STREET})$|^duong\s+(?=\S+\s+\S+\s+\S)")  # "duong" also begins names
+_street = re.compile(rf"^(?:(?:d\.|p\.)\s*|pho\s+)(?=\S)|^(?:{STREET})$|^duong\s+(?=\S+\s+\S+\s+\S)")  # "duong" also begins names
 _ward, _district, _city = (re.compile(rf"^(?:{x})(?=\D)") for x in (WARD, DISTRICT, CITY))
 _post = re.compile(r"\s+\d{5,6}$")
 
@@ -164,7 +164,7 @@ def spellings(named: DataFrame) -> DataFrame:
     n = named.groupBy("district", "street").agg(F.count("*").alias("n"))
     keyed = n.withColumn("k", F.explode(_deletes(F.col("street"))))
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = a.join(b, (F.col("a.district") == F.col("b.district")) & (F.col("a.k") == F.col("b.k")) & (F.col("b.n") >= 4 * F.col("a.n")), "inner")
+    near = a.join(b, (F.col("a.district") == F.col("b.district")) & (F.col("a.k") == F.col("b.k")) & ((F.col("b.n") >= 3 * F.col("a.n")) | ((F.col("a.n") == 1) & (F.col("b.n") >= 2))), "inner")
     near = near.filter(F.levenshtein("a.street", "b.street", 2).between(1, 2))
     return near.groupBy("a.district", "a.street").agg(F.max_by("b.street", F.struct("b.n", "b.street")).alias("better"))
 
