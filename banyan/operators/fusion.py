@@ -61,11 +61,15 @@ def attribute_match(attributes: DataFrame, key: str, required: tuple[str, ...])
     return s.select(key, (sum((F.greatest(F.lit(0.0), (F.coalesce(F.col(f"__{i}"), F.lit(-1.0)) + 1) / 2) for i in range(len(required))), F.lit(0.0)) / len(required)).alias("score"))
 
 
-def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query, recall, mrr, ndcg) at k of hits (query, item, rank) and relevant (query, item); queries without a hit get zeros."""
-    total = relevant.distinct().groupBy("query").agg(F.count("*").alias("n"))
-    good = hits.filter(F.col("rank") <= k).join(relevant.distinct(), ["query", "item"])
-    g = good.groupBy("query").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+def metrics_of_hits(good: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(query, recall, mrr, ndcg) at k of the relevant hits (query, rank) and the number n of relevant items of each query."""
+    g = good.filter(F.col("rank") <= k).groupBy("query").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
-    m = total.join(g, "query", "left")
+    m = totals.filter("n > 0").join(g, "query", "left")
     return m.select("query", F.coalesce(F.col("found") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
+
+
+def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """(query, recall, mrr, ndcg) at k of hits (query, item, rank) and relevant (query, item); queries without a hit get zeros."""
+    rel = relevant.distinct()
+    return metrics_of_hits(hits.join(rel, ["query", "item"]), rel.groupBy("query").agg(F.count("*").alias("n")), k)

@@ -29,6 +29,58 @@ def knn(vectors: DataFrame, query: list[float], key: str, vector: str, k: int) -
     return vectors.select(key, F.round(cosine(F.col(vector), q), 4).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
+def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """(query, item, score, rank): the k nearest other vectors of each query, exactly.
+
+    A block of queries meets a block of vectors as one matrix product in one task, which gives the k best of each query; these are merged.
+    """
+    n, m = (max(1, -(-d.count() // b)) for d, b in ((vectors, block), (queries, query_block)))
+    kind = dict(vectors.dtypes)[key]
+
+    def side(d: DataFrame, is_q: bool) -> DataFrame:
+        d = d.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.lit(is_q).alias("is_q"))
+        own = F.pmod(F.xxhash64("k"), F.lit(m if is_q else n)).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.lit((n if is_q else m) - 1)))
+        return d.select((own if is_q else others).alias("h"), "k", "v", "is_q", (others if is_q else own).alias("g"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids, q = np.array(t["k"].to_pylist(), dtype=object), t["is_q"].to_numpy(zero_copy_only=False)
+            if not q.any() or q.all():
+                return
+            x = np.array(t["v"].to_pylist(), dtype=np.float64)
+            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+            order = np.argsort(ids[~q], kind="stable")
+            items, y = ids[~q][order], x[~q][order]
+            s = np.round(x[q] @ y.T, 4)
+            for i, name in enumerate(ids[q]):
+                best = np.argsort(-s[i], kind="stable")[: k + 1]  # ties in the order of ids
+                best = [j for j in best if items[j] != name][:k]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best)), pa.array([items[j] for j in best]), pa.array(s[i][best])], ["query", "item", "score"])
+
+        held, at = [], None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            hg = np.stack([t["h"].to_numpy(), t["g"].to_numpy()], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(hg, axis=0) != 0).any(1)) + 1, [len(hg)]])
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                here = (int(hg[i][0]), int(hg[i][1]))
+                if at is not None and here != at:
+                    yield from run(pa.concat_tables(held))
+                    held = []
+                at = here
+                held.append(t.slice(i, j - i))
+        if held:
+            yield from run(pa.concat_tables(held))
+
+    both = side(queries, True).unionByName(side(vectors, False))
+    hits = both.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(products, f"query {kind}, item {kind}, score double")
+    w = W.partitionBy("query").orderBy(F.desc("score"), F.asc("item"))
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 2048) -> DataFrame:
     """(a, b, sim) of all pairs a < b with a cosine of at least `least`.
 

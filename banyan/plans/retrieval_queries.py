@@ -110,28 +110,25 @@ SELECT query, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(1.0 / f
 
 
 def _eval(t):
-    """Queries are the vectors whose id is divisible by 100, against all vectors; relevant are those with the same label."""
+    """Measures at 10: queries are the vectors whose id is divisible by 100, against all vectors; relevant are those with the same label."""
     e = t.embeddings
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = q.join(e, F.col("query") != F.col("vec_id")).select("query", F.col("vec_id").alias("item"), (F.col("ql") == F.col("label")).alias("good"), F.round(vector.cosine(F.col("qe"), F.col("embedding")), 4).alias("score"))
-    from pyspark.sql import Window as W
-
-    hits = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "item"))).filter("rank <= 10")
-    return hits, pairs.filter("good").select("query", "item")
+    hits = vector.search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
+    label = e.select("vec_id", "label")
+    good = hits.join(label.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(label.select(F.col("vec_id").alias("item"), "label"), "item").filter("ql = label")
+    totals = e.filter("vec_id % 100 = 0").join(e.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").select(F.col("vec_id").alias("query"), "n")
+    m = fusion.metrics_of_hits(good, totals, 10)
+    return m.select("query", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 
 @query(f"WITH {_EVAL}")
 def eval_recall_mrr_ndcg(t):
-    hits, relevant = _eval(t)
-    m = fusion.retrieval_metrics(hits, relevant, 10)
-    return m.select("query", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+    return _eval(t)
 
 
 @query(f"WITH x AS (WITH {_EVAL}), o AS (SELECT 'all' AS run, recall, mrr, ndcg FROM x UNION ALL SELECT 'odd labels', recall, mrr, ndcg FROM x JOIN embeddings ON query = vec_id WHERE label % 2 = 1) SELECT run, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM o GROUP BY run")
 def ablation_compare(t):
     """Means of the measures for two sets of queries."""
-    hits, relevant = _eval(t)
-    m = fusion.retrieval_metrics(hits, relevant, 10).select("query", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+    m = _eval(t)
     odd = m.join(t.embeddings.filter("label % 2 = 1").select(F.col("vec_id").alias("query")), "query", "left_semi")
     o = m.withColumn("run", F.lit("all")).unionByName(odd.withColumn("run", F.lit("odd labels")))
     return o.groupBy("run").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("recall", "mrr", "ndcg")))
@@ -180,6 +177,30 @@ def store_docs(t):
     return s.join(r, "store_id", "left").select("store_id", F.concat_ws("\n", F.concat(F.lit("Tên quán: "), "canonical_name"), F.concat(F.lit("Nhóm: "), "primary_category"), "reviews").alias("doc"))
 
 
+@query(f"WITH {_FUSED}, h AS (SELECT f.store_id, name, round(score, 8) AS score FROM f JOIN (SELECT store_id, min(canonical_name) AS name FROM store_master GROUP BY 1) m ON f.store_id = m.store_id ORDER BY round(score, 8) DESC, f.store_id LIMIT 5) SELECT string_agg(row_number || '. ' || name || ' (' || printf('%.4f', score) || ')', chr(10) ORDER BY row_number) AS context FROM (SELECT *, row_number() OVER (ORDER BY score DESC, store_id) AS row_number FROM h)")
+def answer_context(t):
+    """The text that an answering model gets, from the five best stores."""
+    from banyan.operators.docs import context
+
+    return context(hybrid_retrieve(t), "score", "store_id", "name")
+
+
+@query("""WITH d AS (SELECT district, count(DISTINCT store_id)::BIGINT AS stores, round(avg(be_rating_avg), 2) AS rating FROM store_master WHERE length(district) > 5 GROUP BY 1) SELECT district, 'Khu ' || district || ': ' || stores || ' quán, điểm ' || printf('%.2f', rating) AS report FROM d""")
+def community_report(t):
+    from banyan.operators.docs import report
+
+    d = t.store_master.filter("length(district) > 5").groupBy("district").agg(F.countDistinct("store_id").alias("stores"), F.round(F.avg("be_rating_avg"), 2).alias("rating"))
+    return d.select("district", report(F.col("district"), F.col("stores"), F.col("rating")).alias("report"))
+
+
+@query(name="embed_texts")
+def embed_texts(t):
+    """Vectors of texts by a model that is passed in; here one that hashes words."""
+    from banyan.operators.docs import embed, hashing_encoder
+
+    return embed(t.documents.filter("text is not null"), "doc_id", "text", hashing_encoder(32)).select("doc_id", F.size("embedding").alias("size"))
+
+
 @query("""SELECT store_id, source_name, ingest_id FROM (SELECT DISTINCT store_id FROM store_master) LEFT JOIN review_fact USING (store_id)""")
 def nested_explode_outer(t):
     """Nested reviews of stores back to rows; a store without reviews keeps one row of nulls."""

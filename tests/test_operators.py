@@ -90,3 +90,15 @@ def test_files(spark, tmp_path):
     assert (tmp_path / "p" / "id=1").exists()
     up = files.upsert(d, spark.createDataFrame([("2", "x", 1), ("2", "y", 2), ("3", "z", 1)], "id string, t string, o long"), ["id"], "o")
     assert rows(up) == [("1", 'a "q"\nb'), ("2", "y"), ("3", "z")]
+
+
+def test_search_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(60, 8))
+    m[7] = m[8]  # a tie
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, v array<double>")
+    u = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    s = np.round(u @ u.T, 4)
+    want = {(q, r + 1): j for q in range(0, 60, 10) for r, j in enumerate(sorted((j for j in range(60) if j != q), key=lambda j: (-s[q, j], j))[:5])}
+    got = {(r["query"], r["rank"]): r["item"] for r in vector.search(df.filter("id % 10 = 0"), df, "id", "v", 5, block=16, query_block=4).collect()}
+    assert got == want
