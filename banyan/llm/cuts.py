@@ -150,7 +150,7 @@ def endings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
                             s = "whole"  # a full stop, emoji, tag, link or footer: it was written to its end
                         else:
                             s = "spaced" if t[:n][-1:].isspace() else "judge"
-                        stop = re.search(r"[.!?;\n]\s*(\S+)\s*$", tail)
+                        stop = re.search(r"(?:[.!?;]\s+|\n\s*)(\S+)\s*$", tail)
                         if stop and len(last) == 2 and len(words(stop.group(1))) == 1:
                             last = ["", last[1]]
                 base.append(n)
@@ -220,7 +220,7 @@ def detect_cuts(df: DataFrame, key: str, source: str, text: str, transfer_rate:
     mid1, end1 = F.coalesce(F.col("mid1"), F.lit(0)), F.coalesce(F.col("end1"), F.lit(0))
     scale = (F.col("E") + 1) / (F.col("M") + 1)
     # an unseen pair is rare at a true end and common where a word is cut; the single word tells which it is
-    unseen = F.when((mid1 + end1) < 3, 60.0).when(end1 > 4 * mid1, 1.0).otherwise(40.0)
+    unseen = F.when((mid1 + end1) < 3, 60.0).when((end1 > 4 * mid1) & (F.length("w2") > 2), 1.0).otherwise(40.0)
     ratio = F.when(mid + end > 0, (mid + 0.3) / (end + 0.02) * F.greatest(scale, F.lit(0.05))).otherwise(unseen)
     # a blank at the very end of a text that reaches a limit is a blank between words
     ratio = F.when((F.col("state") == "spaced") & F.col("prior").isNotNull(), F.greatest(ratio, F.lit(20.0))).otherwise(ratio)
