@@ -111,10 +111,12 @@ def ranked(df: DataFrame, key: str, group: list[Column], source: Column, trust:
     grp = F.xxhash64(*group)
     ok = reduce(lambda a, b: a & b, (g.isNotNull() for g in group))
     base = df.filter(ok)
-    c = claims(base, grp, F.concat_ws("|", source, trust_level(trust).cast("string")), values)
+    # claims travel as hashes: only equality matters
+    hashed = {str(i): F.when(v.isNotNull(), F.xxhash64(v)) for i, v in enumerate(values.values())}
+    c = claims(base, grp, F.concat_ws("|", source, trust_level(trust).cast("string")), hashed)
     true = truths(c)
     filled = sum((v.isNotNull().cast("int") for v in values.values()), F.lit(0))
-    rows = base.select(F.col(key).alias("row_key"), grp.alias("grp"), trust_level(trust).alias("trust"), filled.alias("filled"), F.coalesce(F.col(time).cast("timestamp"), F.to_timestamp(F.lit("1900-01-01"))).alias("at"), F.array(*(F.struct(F.lit(n).alias("col"), v.alias("val")) for n, v in values.items())).alias("v"))
+    rows = base.select(F.col(key).alias("row_key"), grp.alias("grp"), trust_level(trust).alias("trust"), filled.alias("filled"), F.coalesce(F.col(time).cast("timestamp"), F.to_timestamp(F.lit("1900-01-01"))).alias("at"), F.array(*(F.struct(F.lit(n).alias("col"), v.alias("val")) for n, v in hashed.items())).alias("v"))
     rows = durable(rows)
     q = rows.select("row_key", "grp", F.explode("v").alias("x")).select("row_key", "grp", "x.col", "x.val").filter("val is not null").join(true, ["grp", "col", "val"]).groupBy("row_key").agg(F.sum("p").alias("quality"))
     r = rows.drop("v").join(q, "row_key", "left").fillna(0.0, ["quality"])
