@@ -102,3 +102,47 @@ def test_search_against_brute_force(spark):
     want = {(q, r + 1): j for q in range(0, 60, 10) for r, j in enumerate(sorted((j for j in range(60) if j != q), key=lambda j: (-s[q, j], j))[:5])}
     got = {(r["query"], r["rank"]): r["item"] for r in vector.search(df.filter("id % 10 = 0"), df, "id", "v", 5, block=16, query_block=4).collect()}
     assert got == want
+
+
+def test_best_match_against_all_pairs(spark):
+    """The blocked matcher against a plain one over all pairs."""
+    import math
+
+    rng = np.random.default_rng(4)
+    names = ["pho bo", "bun cha", "che sen", "tra chanh", "com tam"]
+    rec = lambda i: (int(i), names[rng.integers(5)], f"{rng.integers(1, 4)} bach mai", 21.0 + rng.uniform(0, 0.03), 105.8 + rng.uniform(0, 0.03))
+    left, right = [rec(i) for i in range(40)], [rec(i) for i in range(60)]
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[3] - a[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = _next(row, i, c, y)
+        return row[-1]
+
+    def _next(row, i, c, y):
+        out = [i]
+        for j, d in enumerate(y, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+        return out
+
+    def score(a, b):
+        m = metres(a, b)
+        geo = next((s for limit, s in ((40, 1.0), (80, 0.95), (150, 0.88), (300, 0.75), (500, 0.55), (800, 0.35), (1200, 0.18)) if m <= limit), 0.0)
+        name = 1 - edits(a[1], b[1]) / max(len(a[1]), len(b[1]))
+        ta, tb = set(a[1].split()), set(b[1].split())
+        token = len(ta & tb) / len(ta | tb)
+        same = a[2] == b[2]
+        return 0.55 * geo + 0.20 * same + 0.17 * name + 0.05 * token + 0.03 - (0 if same else 0.30) - (0.45 if name < 0.35 and token < 0.10 else 0), m
+
+    want = {}
+    for a in left:
+        best = min(((-round(score(a, b)[0], 6), score(a, b)[1], b[0]) for b in right if score(a, b)[1] <= 1200), default=None)
+        if best and -best[0] >= 0.5:
+            want[a[0]] = best[2]
+    s = "id int, name string, address string, lat double, lng double"
+    got = {r["left_id"]: r["right_id"] for r in best_match(spark.createDataFrame(left, s), spark.createDataFrame(right, s)).collect()}
+    assert got == want and len(want) > 5
