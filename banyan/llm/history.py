@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -318,7 +319,13 @@ class FingerprintStore:
         tasks = min(parts, int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         docs.repartition(tasks, "part").sortWithinPartitions("part", "id").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).collect()
 
-        prints = sketch.select("id", F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
+        # equal texts of one name link to the first of them by aggregation, so that a group of copies of any size sends one row on
+        ids = sketch.select("id", "name", F.xxhash64("prints", "words").alias("h"))
+        groups = ids.groupBy("h", "name").agg(F.min("id").alias("old"), F.count("*").alias("n")).filter("n > 1")
+        copies = ids.join(groups, ["h", "name"]).filter("id <> old").select(F.col("id").alias("new"), "old", F.col("name").alias("new_name"), F.col("name").alias("old_name"))
+        copies = stored(copies, f"copies-{segment}")
+        firsts = sketch.select("id", "prints").join(copies.select(F.col("new").alias("id")), "id", "left_anti")
+        prints = firsts.select("id", F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
@@ -393,6 +400,7 @@ class FingerprintStore:
 
         links = pairs.repartition(tasks, "new").sortWithinPartitions("new", "old").mapInArrow(verify, "new bigint, old bigint, new_name string, old_name string")
         links = stored(links, f"links-{segment}")
+        self.segments.append(segment)
 
         def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
@@ -403,13 +411,16 @@ class FingerprintStore:
 
         first = prints.join(links.select(F.col("new").alias("id")), "id", "left_anti")
         first.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id").mapInArrow(accept, "n bigint").agg(F.sum("n")).collect()
-        self.segments.append(segment)
-        return links
+        return links.unionByName(copies)
 
 
 def first_rows(links: DataFrame) -> DataFrame:
     """(new, root) of each link: the chains of links within a batch followed to their first row, by pointer jumping."""
-    fits = F.udf(names_fit, "boolean")
+
+    @F.pandas_udf("boolean")
+    def fits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([names_fit(x, y) for x, y in zip(a, b)], dtype=bool)
+
     cur = durable(links.select("new", F.col("old").alias("root"), "new_name", F.col("old_name").alias("root_name")))
     while True:
         nxt = cur.select(F.col("new").alias("root"), F.col("root").alias("__root"), F.col("root_name").alias("__name"))
@@ -420,11 +431,16 @@ def first_rows(links: DataFrame) -> DataFrame:
     return cur.filter((F.col("new_name") == F.col("root_name")) | fits("new_name", "root_name")).select("new", "root")
 
 
-def repeated_rows(df: DataFrame, row: str, batch: str, key: str, name: str, text: str, parts: int = 32) -> DataFrame:
-    """(kept_id, dup_id) over the batches of df, taken one after the other in the order of `batch`."""
+def repeated_rows(df: DataFrame, row: str, batch: str, key: str, name: str, text: str, parts: int | None = None) -> DataFrame:
+    """(kept_id, dup_id) over the batches of df, taken one after the other in the order of `batch`.
+
+    `parts` is fixed for the life of a store; by default a part gets about 200,000 texts.
+    """
     spark = df.sparkSession
-    store = FingerprintStore(f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", parts)
+    store = FingerprintStore(f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", parts or 32)
     sketch = stored(store.sketch(df, row, key, name, text, (batch,)), "sketch", [batch])
+    if parts is None:
+        store.parts = max(32, -(-sketch.count() // 200_000))
     numbers = sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] is not None)  # one value a batch
     links = None
     for n in numbers:
