@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from banyan.llm import addresses
@@ -251,10 +250,8 @@ def match(stores: DataFrame, places: DataFrame, proposed: DataFrame, least: floa
     done = None
     while True:
         # a pair is kept where it is the best of both its entities
-        best = F.struct(F.col("z"), F.col("store_id"), F.col("place_id"))
         by_store = left.groupBy("store_id").agg(F.max_by("place_id", F.struct(F.col("z"), F.col("place_id"))).alias("place_id"))
         by_place = left.groupBy("place_id").agg(F.max_by("store_id", F.struct(F.col("z"), F.col("store_id"))).alias("store_id"))
-        del best
         got = durable(left.join(by_store, ["store_id", "place_id"]).join(by_place, ["store_id", "place_id"]))
         if got.limit(1).count() == 0:
             break
