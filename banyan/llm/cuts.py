@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from banyan.llm.history import TAGS, fold
+from banyan.session import durable
 
 #: What writers and pages put after a text, and what sources put after a cut.
 LAUGHS = ("huhu", "hihi", "haha", "hehe", "kkk")
@@ -210,8 +211,8 @@ def length_limits(ends: DataFrame) -> DataFrame:
 
 def detect_cuts(df: DataFrame, key: str, source: str, text: str, transfer_rate: float = 0.05) -> DataFrame:
     """(key, source, at_limit, posterior, cut) of each row."""
-    counts = corpus_contexts(df, text)
-    ends = endings(df, key, source, text)
+    counts = durable(corpus_contexts(df, text))  # used three times, and the texts are read once for each of these
+    ends = durable(endings(df, key, source, text))
     totals = counts.agg(F.sum("mid").alias("M"), F.sum("end").alias("E"))
     single = counts.groupBy("w2").agg(F.sum("mid").alias("mid1"), F.sum("end").alias("end1"))
     e = ends.join(counts, ["w1", "w2"], "left").join(single, "w2", "left").join(F.broadcast(totals))
