@@ -54,15 +54,25 @@ def words(t: str) -> list[str]:
     return [re.sub(r"\d+", "0", w) for w in WORDLIKE.findall(THOUSANDS.sub("", t))]
 
 
-def core(text: str) -> tuple[str, bool]:
+def _undecorated(s: str, window: int = 1024) -> str:
+    """s without the decoration at its end, which is sought from the end on, however long it is."""
+    while True:
+        tail = s[-window:]
+        n = DECOR.sub("", tail)
+        if n or len(s) <= window:
+            return s[: len(s) - len(tail)] + n
+        s = s[: len(s) - len(tail)]
+
+
+def core(folded: str) -> tuple[str, bool]:
     """The folded text before its decoration, and whether an empty list item ended it."""
-    t = fold(text)
-    s = t
+    s = folded
     while True:
-        item = ITEM.search(s)
+        line = s.rfind("\n", 0, len(s.rstrip())) if s.rstrip() else -1
+        item = ITEM.search(s, max(0, line))
         if item and item.end() > item.start() and s[item.start() :].strip():
             return s[: item.start()], True
-        n = DECOR.sub("", s)
+        n = _undecorated(s)
         if n == s:
             return s, False
         s = n
@@ -70,7 +80,8 @@ def core(text: str) -> tuple[str, bool]:
 
 def base_length(text: str) -> int:
     """Characters of the text before a marker of a cut."""
-    return MARK.search(text).start()
+    at = max(0, len(text.rstrip()) - 32)
+    return MARK.search(text, at).start()
 
 
 def contexts(text: str) -> Iterator[tuple[str, str, int]]:
@@ -138,13 +149,14 @@ def endings(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
                 t = unicodedata.normalize("NFC", t) if t else t
                 if t and t.strip():
                     n = base_length(t)
-                    body, item = core(t)
+                    folded = fold(t)
+                    body, item = core(folded)
                     tail = body[-200:]
                     last = words(tail)[-2:]
                     if "�" in t[-8:]:
                         s = "open"
                     elif last and not item:
-                        after = fold(t)[len(body) : n].strip()
+                        after = folded[len(body) : n].strip()
                         if body.rstrip()[-1:] in (",", "(", "[", "{", "-", "*") and not after:
                             s = "open"
                         elif after and not (set(after) <= {".", "…"} and (len(after) != 1 or body[-1:].isdigit())):
