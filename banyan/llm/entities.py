@@ -1,10 +1,11 @@
 """Matching of entities across two sources that share no key.
 
 A shop name is reduced to its kind of food and its core (the first words that are neither kind, generic word nor street). Candidates come
-from blocks: MinHash bands over the core's character pairs, each together with a place attribute (the house, the district, the
-cells of a geographic grid around the point), and the pairs that the input itself proposes. Pairs get features
+from blocks: MinHash bands over the core's character pairs, and the misspelt forms of the core among the places' cores (found exactly, by
+variants with letters left out), each together with a place attribute (the house, the district, the cells of a geographic grid around the
+point), and the pairs that the input itself proposes. Pairs get features
 (agreement of core, kind, house, street, distance, and whether missing), a logistic classifier is fitted on weak
-labels given by rules to a bounded sample of candidates (`SAMPLE` rows, taken by hash), its scores are calibrated by isotonic steps on the other half of
+labels given by rules to a bounded sample of the candidates that share a band or are proposed (`SAMPLE` rows, taken by hash), its scores are calibrated by isotonic steps on the other half of
 the sample, and a one-to-one assignment keeps mutual best pairs, round after round, until none is left.
 
 Defined results: entities without a usable name match nothing; missing addresses and coordinates are features, not errors; several rows of
@@ -99,6 +100,41 @@ def _bands(core: str, bands: int = 8, rows: int = 2) -> list[int]:
     return x.view(np.int64).tolist()
 
 
+#: Characters of a core that its variants are made of at most.
+HEAD = 14
+
+
+def _variants(core: str) -> set[str]:
+    """What is left of a core's head without up to as many letters as may be misspelt: misspelt cores have a variant in common."""
+    k = 2 if len(core) >= 6 else int(len(core) >= 3)
+    out = level = {core[: HEAD + k]}
+    for _ in range(k):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return {w[:HEAD] for w in out}
+
+
+def misspelt(a, b):
+    """True where two cores differ by a letter or two, or by the order of the words."""
+    d = F.levenshtein(a, b)
+    near = (d <= F.when(F.length(a) >= 6, 2).otherwise(1)) & (d <= 0.25 * F.greatest(F.length(a), F.length(b)))
+    return near | (F.concat_ws(" ", F.reverse(F.split(a, " "))) == b)
+
+
+def near_cores(stores: DataFrame, places: DataFrame) -> DataFrame:
+    """Distinct (core, other): each core of the stores with all other cores of the places that are misspelt forms of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cores = b.column("core").to_pylist()
+            keys = [_variants(x) | {" ".join(x.split(" ")[::-1])[:HEAD]} for x in cores]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(cores, keys) for _ in k], pa.string()), pa.array([v for k in keys for v in k], pa.string())], ["core", "v"])
+
+    a, b = (e.select("core").distinct().mapInArrow(run, "core string, v string") for e in (stores, places))
+    pairs = a.join(b.withColumnRenamed("core", "other"), "v").filter(F.col("core") != F.col("other"))
+    return pairs.filter(misspelt(F.col("core"), F.col("other"))).select("core", "other").distinct()
+
+
 def named(df: DataFrame, name: str) -> DataFrame:
     """df with core, kind and the MinHash bands of a name."""
 
@@ -132,10 +168,14 @@ CELL = 0.01
 
 
 def candidates(stores: DataFrame, places: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Distinct (store_id, place_id) pairs that share a block, or are proposed and share a band or a word."""
+    """Distinct (store_id, place_id, banded): the pairs that share a block, or are proposed.
+
+    Pairs of one house, district or grid neighbourhood are candidates where their cores share a band (banded, as proposed pairs are) or are
+    misspelt forms of each other.
+    """
 
-    def blocks(e: DataFrame, key: str, around: bool) -> DataFrame:
-        b = e.select(key, "district", "street", "alleys", "house", "lat", "lng", F.explode("bands").alias("band"))
+    def blocks(e: DataFrame, key: str, around: bool, band) -> DataFrame:
+        b = e.select(key, "district", "street", "alleys", "house", "lat", "lng", band.alias("band"))
         i, j = F.floor(F.col("lat") / CELL), F.floor(F.col("lng") / CELL)
         near = F.sequence(F.lit(-1), F.lit(1)) if around else F.array(F.lit(0))
         geo = b.filter("lat is not null").select(key, "band", i.alias("i"), j.alias("j")).withColumn("di", F.explode(near)).withColumn("dj", F.explode(near))
@@ -145,8 +185,12 @@ def candidates(stores: DataFrame, places: DataFrame, proposed: DataFrame) -> Dat
             .unionByName(geo.select(key, F.xxhash64(F.lit("g"), "band", F.col("i") + F.col("di"), F.col("j") + F.col("dj")).alias("block")))
         )
 
-    pairs = blocks(stores, "store_id", True).join(blocks(places, "place_id", False), "block").select("store_id", "place_id")
-    return pairs.unionByName(proposed).distinct()
+    def met(s: DataFrame, s_band, p_band, banded: bool) -> DataFrame:
+        return blocks(s, "store_id", True, s_band).join(blocks(places, "place_id", False, p_band), "block").select("store_id", "place_id", F.lit(banded).alias("banded"))
+
+    pairs = met(stores, F.explode("bands"), F.explode("bands"), True).unionByName(proposed.withColumn("banded", F.lit(True)))
+    alike = stores.join(near_cores(stores, places), "core")
+    return pairs.unionByName(met(alike, F.xxhash64("other"), F.xxhash64("core"), False)).groupBy("store_id", "place_id").agg(F.max("banded").alias("banded"))
 
 
 FEATURES = ("exact", "near", "kind_same", "kind_differs", "house_same", "street_same", "street_differs", "far_unknown", "log_m", "within_150", "beyond_1000", "no_place", "proposed", "rare")
@@ -165,8 +209,7 @@ def features(pairs: DataFrame, stores: DataFrame, places: DataFrame, proposed: D
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     street = (F.col("s_street") == F.col("p_street")) & (F.col("s_district") == F.col("p_district"))
     a, b = F.col("s_core"), F.col("p_core")
-    near = (F.levenshtein(a, b) <= F.when(F.length(a) >= 6, 2).otherwise(1)) & (F.levenshtein(a, b) <= 0.25 * F.greatest(F.length(a), F.length(b)))
-    near = near | (F.concat_ws(" ", F.reverse(F.split(a, " "))) == b)
+    near = misspelt(a, b)
     both = (F.col("s_kind") != "") & (F.col("p_kind") != "")
     house = street & (F.col("s_house") == F.col("p_house")) & (F.col("s_alleys") == F.col("p_alleys"))
     value = {
@@ -174,7 +217,7 @@ def features(pairs: DataFrame, stores: DataFrame, places: DataFrame, proposed: D
         "house_same": yes(house), "street_same": yes(street & ~house), "street_differs": yes(~street & F.col("p_street").isNotNull()), "far_unknown": yes(F.col("m").isNull()),
         "log_m": F.coalesce(F.log1p("m") / 10, F.lit(0.6)), "within_150": yes(F.col("m") <= 150), "beyond_1000": yes(F.col("m") > 1000), "no_place": yes(F.col("m").isNull() & F.col("p_street").isNull()), "proposed": F.coalesce("prop", F.lit(0.0)), "rare": F.coalesce("alone", F.lit(0.0)),
     }
-    return f.select("store_id", "place_id", F.array(*(value[x] for x in FEATURES)).alias("x"))
+    return f.select("store_id", "place_id", "banded", F.array(*(value[x] for x in FEATURES)).alias("x"))
 
 
 def weak_label(x: np.ndarray) -> np.ndarray:
@@ -230,9 +273,9 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]
 def match(stores: DataFrame, places: DataFrame, proposed: DataFrame, least: float = 0.5) -> DataFrame:
     """(store_id, place_id, confidence), one to one. Entities need name, core, kind, bands, lat, lng, district, street, alleys, house."""
     f = durable(features(candidates(stores, places, proposed), stores, places, proposed))
-    n = f.count()
+    n = f.filter("banded").count()
     bound = max(1, int(2**31 * min(1.0, SAMPLE / max(1, n))))
-    sample = f.filter(F.pmod(F.xxhash64("store_id", "place_id"), F.lit(2**31)) < bound).select("store_id", "place_id", "x").orderBy(F.xxhash64("store_id", "place_id")).limit(SAMPLE).toPandas()
+    sample = f.filter("banded").filter(F.pmod(F.xxhash64("store_id", "place_id"), F.lit(2**31)) < bound).select("store_id", "place_id", "x").orderBy(F.xxhash64("store_id", "place_id")).limit(SAMPLE).toPandas()
     x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = weak_label(x)
     held = np.arange(len(y)) % 2 == 1

@@ -222,6 +222,19 @@ def test_planted_shops(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+def test_misspelt_names_are_candidates(spark):
+    """Short cores with a letter or two wrong: some share no band, all are candidates where they share a place."""
+    cols = "name string, core string, kind string, bands array<bigint>, lat double, lng double, district string, street string, alleys string, house string"
+    make = lambda key, got: spark.createDataFrame([(k, n, c, "", entities._bands(c), lat, lng, d, st, al, h) for k, n, c, lat, lng, d, st, al, h in got], f"{key} string, {cols}")
+    pairs = [("la hong", "la houg"), ("gio nho", "gio nno"), ("may tim", "may tm"), ("nep", "nepp"), ("khoi vang", "hkoi vang"), ("soc luoi", "luoi soc"), ("x" * 40 + " tim", "x" * 20 + "y" + "x" * 19 + " tim")]
+    assert not set(entities._bands("la hong")) & set(entities._bands("la houg"))
+    lat = [20.9 + 0.1 * i for i in range(len(pairs))]
+    stores = make("store_id", [(f"s{i}", a, a, lat[i], 105.5, None, None, None, None) for i, (a, _) in enumerate(pairs)] + [("d", "mua xinh", "mua xinh", None, None, "d", "t", "", "5"), ("far", "la hong", "la hong", 10.0, 105.5, None, None, None, None)])
+    places = make("place_id", [(f"p{i}", b, b, lat[i] + 0.0005, 105.5, None, None, None, None) for i, (_, b) in enumerate(pairs)] + [("d", "mua xlnh", "mua xlnh", None, None, "d", "u", "", "6")])
+    got = rows(entities.candidates(stores, places, spark.createDataFrame([], "store_id string, place_id string")).select("store_id", "place_id"))
+    assert got == [("d", "d")] + [(f"s{i}", f"p{i}") for i in range(len(pairs))]
+
+
 # --- 7: tokens ---
 
 
