@@ -279,6 +279,16 @@ def _ranges(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return q, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
 
 
+def _fitting(ids: np.ndarray, who: np.ndarray, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(new, old) of all rows of a posting list, in order, with each earlier row whose name may fit; 0 in who fits any. At most `cells` pairs, or a row's, at once."""
+    step = max(1, cells // len(ids))
+    for j in range(0, len(ids), step):
+        k = min(j + step, len(ids))
+        w = who[j:k, None]
+        a, b = np.nonzero(((who[None, :k] == w) | (who[None, :k] == 0) | (w == 0)) & (np.arange(k)[None, :] < np.arange(j, k)[:, None]))
+        yield ids[j + a], ids[b]
+
+
 class FingerprintStore:
     """Accepted fingerprints and words in a shared folder, in `parts` hash partitions and one segment a batch."""
 
@@ -324,25 +334,33 @@ class FingerprintStore:
         groups = ids.groupBy("h", "name").agg(F.min("id").alias("old"), F.count("*").alias("n")).filter("n > 1")
         copies = ids.join(groups, ["h", "name"]).filter("id <> old").select(F.col("id").alias("new"), "old", F.col("name").alias("new_name"), F.col("name").alias("old_name"))
         copies = stored(copies, f"copies-{segment}")
-        firsts = sketch.select("id", "prints").join(copies.select(F.col("new").alias("id")), "id", "left_anti")
-        prints = firsts.select("id", F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
+        firsts = sketch.select("id", "name", "prints").join(copies.select(F.col("new").alias("id")), "id", "left_anti")
+        who = F.when((F.col("name") == "") | F.col("name").contains("*"), 0).otherwise(F.hash("name"))
+        prints = firsts.select("id", who.alias("who"), F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                fp, ids = t["fp"].to_numpy(), t["id"].to_numpy()
+                fp, ids, who = t["fp"].to_numpy(), t["id"].to_numpy(), t["who"].to_numpy()
                 count = dict(zip(ids.tolist(), t["n"].to_pylist()))
+
+                def hits(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+                    if len(a):
+                        pair, shared = np.unique(np.stack([a, b], 1)[a > b], axis=0, return_counts=True)
+                        n = np.fromiter((count[x] for x in pair[:, 0].tolist()), np.int16, len(pair))
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(n), pa.array(shared.astype(np.int32))], ["new", "old", "n", "shared"])
+
                 new, old = [], []
                 starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
                 sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+                small = np.repeat(sizes, sizes) <= limit
                 for d in range(1, min(limit, int(sizes.max()))):  # within the batch: ids of a fingerprint are in order
-                    ok = np.flatnonzero((fp[d:] == fp[:-d]))
-                    if d > 1:
-                        ok = ok[np.repeat(sizes, sizes)[ok] <= limit]
+                    ok = np.flatnonzero((fp[d:] == fp[:-d]) & small[d:])
                     new.append(ids[d:][ok])
                     old.append(ids[:-d][ok])
-                big = np.repeat(sizes > limit, sizes)
-                new.append(ids[big])
-                old.append(ids[np.repeat(starts, sizes)][big])
+                for i in np.flatnonzero(sizes > limit):  # of a frequent fingerprint only the pairs that a name allows, in pieces
+                    at = slice(starts[i], starts[i] + sizes[i])
+                    for a, b in _fitting(ids[at], who[at]):
+                        yield from hits(a, b)
                 for s in old_segments:
                     filt = _open(f"{folder}/prints/{s}/{part}.bloom")
                     if filt is None:
@@ -355,11 +373,8 @@ class FingerprintStore:
                     q, at = _ranges(np.searchsorted(sf, fp[hit]), np.searchsorted(sf, fp[hit], side="right"))
                     new.append(ids[hit][q])
                     old.append(seg["id"].to_numpy()[at])
-                a, b = np.concatenate(new), np.concatenate(old)
-                if len(a):
-                    pair, shared = np.unique(np.stack([a, b], 1)[a > b], axis=0, return_counts=True)
-                    n = np.fromiter((count[x] for x in pair[:, 0].tolist()), np.int16, len(pair))
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(n), pa.array(shared.astype(np.int32))], ["new", "old", "n", "shared"])
+                if new:
+                    yield from hits(np.concatenate(new), np.concatenate(old))
 
         by_print = prints.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id")
         pairs = by_print.mapInArrow(look_up, "new bigint, old bigint, n smallint, shared int").groupBy("new", "old").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))

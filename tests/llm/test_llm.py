@@ -129,6 +129,18 @@ def test_copies_of_one_text(spark):
     assert set(got) == set(range(1, 300)) and set(got.values()) == {0}
 
 
+def test_text_that_spreads(spark):
+    """Many names tell one text, each row with a word of its own: a name's second row links to its first, though all that they share is frequent."""
+    base = [f"từ{j}" for j in range(40)]
+    tell = lambda i: " ".join([*base[:20], f"khác{i}", *base[21:]])
+    data = [review(i, 0, f"Ong {i}", tell(i)) for i in range(90)] + [review(100 + i, 0, f"Ong {i}", tell(100 + i)) for i in (5, 40, 89)]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    assert rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4)) == [(5, 105), (40, 140), (89, 189)]
+    ids, who = np.arange(300), np.random.default_rng(1).integers(0, 9, 300)
+    got = {(int(x), int(y)) for a, b in history._fitting(ids, who, 1000) for x, y in zip(a, b)}
+    assert got == {(i, j) for i in range(300) for j in range(i) if who[i] == who[j] or not who[i] or not who[j]}
+
+
 def test_history_against_all_pairs(spark):
     """Against a plain comparison of all texts of a store."""
     r = spark.read.parquet(f"{D}/review_fact.parquet").select("ingest_id", "store_id", "reviewer", "review_text").orderBy("ingest_id").collect()
