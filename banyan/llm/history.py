@@ -296,7 +296,7 @@ class FingerprintStore:
         self.folder, self.parts, self.all_pairs_to, self.segments = folder.rstrip("/"), parts, all_pairs_to, []
 
     def sketch(self, df: DataFrame, row: str, key: str, name: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
-        """(id, name, words, prints, *extra) of each row whose own words are long enough."""
+        """(id, name, words, prints, store key's hash, *extra) of each row whose own words are long enough."""
         types = dict(df.dtypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +307,11 @@ class FingerprintStore:
                 s = b.take(pa.array(take, pa.int64()))
                 flat, sizes = fingerprints(words, [x or "" for x in s.column("__key").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                cols = [s.column("id"), pa.array([folded_name(x) for x in s.column("__name").to_pylist()], pa.string()), pa.array([" ".join(w) for w in words], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols + [s.column(c) for c in extra], ["id", "name", "words", "prints", *extra])
+                cols = [s.column("id"), pa.array([folded_name(x) for x in s.column("__name").to_pylist()], pa.string()), pa.array([" ".join(w) for w in words], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), s.column("key")]
+                yield pa.RecordBatch.from_arrays(cols + [s.column(c) for c in extra], ["id", "name", "words", "prints", "key", *extra])
 
-        src = df.select(F.col(row).cast("bigint").alias("id"), F.col(key).cast("string").alias("__key"), F.col(name).alias("__name"), F.col(text).alias("__text"), *extra)
-        return src.mapInArrow(run, ", ".join(["id bigint, name string, words string, prints array<bigint>", *(f"{c} {types[c]}" for c in extra)]))
+        src = df.select(F.col(row).cast("bigint").alias("id"), F.col(key).cast("string").alias("__key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("key"), F.col(name).alias("__name"), F.col(text).alias("__text"), *extra)
+        return src.mapInArrow(run, ", ".join(["id bigint, name string, words string, prints array<bigint>, key bigint", *(f"{c} {types[c]}" for c in extra)]))
 
     def add(self, sketch: DataFrame, segment: str) -> DataFrame:
         """The links (new, old, new_name, old_name) of a batch, which is then part of the store.
@@ -319,11 +319,11 @@ class FingerprintStore:
         old is the first earlier row, of history or of the batch, that tells the same; rows without a link are first rows.
         """
         folder, parts, old_segments, limit = self.folder, self.parts, tuple(self.segments), self.all_pairs_to
-        docs = sketch.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "name", "words")
+        docs = sketch.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "name", "words", "key")
 
         def write_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t.select(["id", "name", "words"])))
+                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t.select(["id", "name", "words", "key"])))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
         tasks = min(parts, int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -383,7 +383,7 @@ class FingerprintStore:
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files: dict[tuple[str, int], tuple[np.ndarray, pa.Table] | None] = {}
 
-            def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str]]:
+            def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str], int, bool]:
                 part = i % parts
                 for s in where:
                     if (s, part) not in files:
@@ -392,28 +392,47 @@ class FingerprintStore:
                     if f := files[s, part]:
                         at = int(np.searchsorted(f[0], i))
                         if at < len(f[0]) and f[0][at] == i:
-                            return f[1]["name"][at].as_py(), f[1]["words"][at].as_py().split(" ")
+                            return f[1]["name"][at].as_py(), f[1]["words"][at].as_py().split(" "), f[1]["key"][at].as_py(), s == segment
                 raise KeyError(i)
 
             everywhere = (segment, *reversed(old_segments))
-            last: tuple[int, tuple[str, list[str]]] | None = None
+            last: tuple[int, tuple[str, list[str], int, bool]] | None = None
             done = None
             for b in batches:
-                out: list[tuple[int, int, str, str]] = []
+                out: list[tuple[int, int, int, str, str]] = []
                 for new, old in zip(b.column("new").to_pylist(), b.column("old").to_pylist()):
                     if new == done:
                         continue
                     if last is None or last[0] != new:
                         last = (new, find(new, (segment,)))
-                    n, w = last[1]
-                    m, v = find(old, everywhere)
+                    n, w, k, _ = last[1]
+                    m, v, _, inside = find(old, everywhere)
                     if names_fit(n, m) and same_account(v, w):
-                        out.append((new, old, n, m))
-                        done = new
+                        out.append((k, new, old, n, m))
+                        if not n or n == m or not inside:  # whatever old turns out to repeat then fits new; else the next ones are tried too
+                            done = new
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["key", "new", "old", "new_name", "old_name"])
+
+        def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each row's first candidate whose own first row fits it by name; rows without one are first rows. A key's rows come in order."""
+            at, first = None, {}
+            for b in batches:
+                out: list[tuple[int, int, str, str]] = []
+                for key, new, old, n, m in zip(*(c.to_pylist() for c in b.columns)):
+                    if key != at:
+                        at, first = key, {}
+                    if new in first:
+                        continue
+                    root, name = first.get(old, (old, m))
+                    if names_fit(n, name):
+                        first[new] = (root, name)
+                        out.append((new, root, n, name))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["new", "old", "new_name", "old_name"])
 
-        links = pairs.repartition(tasks, "new").sortWithinPartitions("new", "old").mapInArrow(verify, "new bigint, old bigint, new_name string, old_name string")
+        fits = pairs.repartition(tasks, "new").sortWithinPartitions("new", "old").mapInArrow(verify, "key bigint, new bigint, old bigint, new_name string, old_name string")
+        links = fits.repartition(tasks, "key").sortWithinPartitions("key", "new", "old").mapInArrow(resolve, "new bigint, old bigint, new_name string, old_name string")
         links = stored(links, f"links-{segment}")
         self.segments.append(segment)
 

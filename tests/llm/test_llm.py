@@ -141,6 +141,14 @@ def test_text_that_spreads(spark):
     assert got == {(i, j) for i in range(300) for j in range(i) if who[i] == who[j] or not who[i] or not who[j]}
 
 
+def test_chain_to_another_name(spark):
+    """A row without a name between two names: the second name's rows repeat their own first row, in the batch and later."""
+    edit = lambda w: LONG.replace("sẽ tạm được", w)
+    data = [review(1, 0, "Ong 7", LONG), review(2, 0, None, LONG), review(3, 0, "Mít Lười 12", LONG), review(4, 0, "Mít Lười 12", LONG), review(5, 0, "Mít Lười 12", edit("sẽ ổn")), review(6, 1, "Mít Lười 12", edit("sẽ khá")), review(7, 1, "Ong 7", edit("sẽ khá"))]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    assert rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4)) == [(1, 2), (1, 7), (3, 4), (3, 5), (3, 6)]
+
+
 def test_history_against_all_pairs(spark):
     """Against a plain comparison of all texts of a store."""
     r = spark.read.parquet(f"{D}/review_fact.parquet").select("ingest_id", "store_id", "reviewer", "review_text").orderBy("ingest_id").collect()
