@@ -271,6 +271,16 @@ def text_blob(t):
     return allr.join(g, "store_id", "left").select("store_id", F.array_join(F.transform("l", lambda x: x["review_text"]), " ").alias("text"))
 
 
+@query("SELECT store_id, string_agg(review_text, ' ' ORDER BY ingest_id) AS text FROM review_fact GROUP BY store_id")
+def text_blob_all(t):
+    """The texts of all reviews of each store in the order of arrival, joined in parts of 1,024 ids first."""
+    r = t.review_fact.select("store_id", F.floor(F.col("ingest_id") / 1024).alias("part"), "ingest_id", "review_text")
+    joined = lambda l, c: F.when(F.size(l) > 0, F.array_join(F.transform(F.sort_array(l), lambda x: x[c]), " "))
+    kept = lambda k, c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct(k, c)))
+    p = r.groupBy("store_id", "part").agg(kept("ingest_id", "review_text").alias("l")).select("store_id", "part", joined("l", "review_text").alias("text"))
+    return p.groupBy("store_id").agg(kept("part", "text").alias("l")).select("store_id", joined("l", "text").alias("text"))
+
+
 @query("SELECT o_orderpriority, l_returnflag, l_shipmode_group, n FROM (SELECT o_orderpriority, l_returnflag, l_linestatus AS l_shipmode_group, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY GROUPING SETS ((o_orderpriority, l_returnflag, l_linestatus), (o_orderpriority), ()))")
 def ext_grouping_sets(t):
     """Extension: grouping sets over a join."""

@@ -44,3 +44,9 @@ def test_query(spark, duck, name):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     assert sorted(df.columns) == sorted(cols)
     assert got == sorted(tuple(cell(row[i]) for i in order) for row in r.fetchall())
+
+
+def test_blobs_hold_all_reviews(spark):
+    blobs = registry.QUERIES["text_blob_all"](spark, D)
+    r = spark.read.parquet(f"{D}/review_fact.parquet").filter("review_text is not null").selectExpr("sum(length(review_text)) n", "count(*) c", "count(distinct store_id) g").first()
+    assert blobs.selectExpr("sum(length(text))").first()[0] == r.n + r.c - r.g
