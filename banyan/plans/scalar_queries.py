@@ -130,6 +130,20 @@ def date_multi_parse(t):
     return r.select("rating_row", F.date_format(text.mixed_date(F.col("rated_at")), "yyyy-MM-dd HH:mm").alias("at"))
 
 
+_YEAR = r"(\d{1,2}/\d{1,2}/)(\d{2})( |$)"
+
+
+@query(
+    f"WITH t AS (SELECT rating_row, regexp_replace(trim(rated_at), '{_YEAR}', '\\120\\2\\3') AS rated_at FROM be_ratings) SELECT rating_row, strftime(coalesce("
+    + ", ".join(_PARSE.format(f) for f in _FORMATS[:5])
+    + "), '%Y-%m-%d %H:%M') AS at FROM t"
+)
+def date_multi_parse_all(t):
+    """All values: years of two digits are those of this century, what cannot be read is null."""
+    at = text.mixed_date(F.regexp_replace(F.trim("rated_at"), _YEAR, "$120$2$3"))
+    return t.be_ratings.select("rating_row", F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"))
+
+
 @query(r"""WITH t AS (SELECT map_id, list_filter(list_transform(string_split(address_raw, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM store_source_map)
 SELECT map_id, p[1] AS street, CASE WHEN len(p) >= 2 THEN trim(regexp_replace(p[-2], '^Quận ', '')) END AS district, p[-1] AS city FROM t""")
 def location_parts(t):
