@@ -200,9 +200,12 @@ def url_parts(t):
 
 
 def _page(t):
-    """Pages made of the documents, with title, heading, links and a script."""
+    """Pages made of the documents, with title, heading, links, a script and the escaped text."""
+    body = F.col("text")
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        body = F.replace(body, F.lit(x), F.lit(y))
     d = t.documents.filter("text is not null")
-    return d.select("doc_id", F.concat(F.lit("<html><title>"), F.col("source"), F.lit(" "), F.col("doc_id"), F.lit('</title><a href="/s/'), F.coalesce("store_id", F.lit("0")), F.lit('">x</a><a href="/s/a?q=1">y</a><script>var data = {"id": '), F.col("doc_id"), F.lit(', "t": "a}b", "u": undefined, "l": [1,2,],};</script><h1>'), F.coalesce("lang", F.lit("")), F.lit("</h1></html>")).alias("html"))
+    return d.select("doc_id", F.concat(F.lit("<html><title>"), F.col("source"), F.lit(" "), F.col("doc_id"), F.lit("</title><p>"), body, F.lit('</p><a href="/s/'), F.coalesce("store_id", F.lit("0")), F.lit('">x</a><a href="/s/a?q=1">y</a><script>var data = {"id": '), F.col("doc_id"), F.lit(', "t": "a}b", "u": undefined, "l": [1,2,],};</script><h1>'), F.coalesce("lang", F.lit("")), F.lit("</h1></html>")).alias("html"))
 
 
 @query("SELECT doc_id, source || ' ' || doc_id AS title, nullif(lang, '') AS heading FROM documents WHERE text IS NOT NULL")

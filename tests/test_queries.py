@@ -56,3 +56,10 @@ def test_dates_of_all_forms(spark):
     dates = registry.QUERIES["date_multi_parse_all"](spark, D)
     short = spark.read.parquet(f"{D}/be_ratings.parquet").filter("trim(rated_at) rlike '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2} '").join(dates, "rating_row")
     assert dates.count() == spark.read.parquet(f"{D}/be_ratings.parquet").count() and short.filter("at is null or at not like '20%'").count() == 0
+
+
+def test_pages_hold_the_text(spark):
+    from banyan.plans import base, scalar_queries
+
+    page = scalar_queries._page(base.Tables(spark, D)).join(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text"), "doc_id")
+    assert page.count() and page.filter("length(html) < length(text) + 100").count() == 0
