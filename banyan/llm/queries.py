@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_house(addresses.address_records(table(spark, d, "store_master"), table(spark, d, "store_source_map"), table(spark, d, "normalized_location")))
 
 
+def _groups(spark: SparkSession, d: str) -> dict[str, survivors.Groups]:
+    return {"store_master": survivors.store_groups(table(spark, d, "store_master")), "store_source_map": survivors.source_groups(table(spark, d, "store_source_map"))}
+
+
+def _both(spark: SparkSession, d: str, of, *columns: str) -> DataFrame:
+    """The rows of `of` for both tables, with `tab`; store_master has no source."""
+    parts = [of(g).withColumn("tab", F.lit(tab)) for tab, g in _groups(spark, d).items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).select("tab", *columns)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """(tab, row_key) of each representative that dominates its group."""
-    a = survivors.store_rows(table(spark, d, "store_master")).select(F.lit("store_master").alias("tab"), "row_key", "dominates")
-    b = survivors.source_rows(table(spark, d, "store_source_map")).select(F.lit("store_source_map").alias("tab"), "row_key", "dominates")
-    return a.unionByName(b).filter("dominates").select("tab", "row_key")
+    return _both(spark, d, survivors.representatives, "row_key", "dominates").filter("dominates").select("tab", "row_key")
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One row a group: the representative row and the record built field by field from the values judged most probable."""
+    return _both(spark, d, survivors.fused, "store_id", "source", "row_key", "size", "dominates", "record")
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value judged true, so a field may have several, and the best one of each field."""
+    return _both(spark, d, survivors.values, "store_id", "source", "col", "val", "p", "best")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +93,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return cuts.cut_rates(cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p2_values": p2_values, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 _NOTHING = ", ".join("'" + x + "'" for x in STAND_INS)
 
 
