@@ -97,21 +97,46 @@ def test_relative_without_crawl_and_empty(spark):
     assert resolve(r.filter("k > 5"), "source", "k", keep=("k",)).count() == 0
 
 
+def path_cost(path, u, f, c, before=None, after=None):
+    seq = [*([before] if before else []), *((u[k], f[k]) for k in path), *([after] if after else [])]
+    return sum(c[k] for k in path) + sum(1.0 * ({a[1], b[1]} == {2, 3}) + 2.0 * (b[0] < a[0]) for a, b in zip(seq, seq[1:]))
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        n = 6
-        u, f, c = rng.integers(0, 9, (n, 2)), np.tile([2, 3], (n, 1)), rng.integers(0, 3, (n, 2)).astype(float)
+    for _ in range(40):
+        n = rng.integers(2, 4, 6)
+        at = np.concatenate([[0], np.cumsum(n)]).tolist()
+        u, f, c = rng.integers(0, 9, at[-1]).tolist(), rng.integers(1, 4, at[-1]).tolist(), rng.integers(0, 3, at[-1]).astype(float).tolist()
         before, after = (4, 2), (5, 3)
+        got = _viterbi(u, f, c, at, before, after, 1.0, 2.0)
+        best = min(path_cost(p, u, f, c, before, after) for p in itertools.product(*(range(a, b) for a, b in zip(at, at[1:]))))
+        assert abs(path_cost(got, u, f, c, before, after) - best) < 1e-9
 
-        def cost(path):
-            seq = [before, *((int(u[i][k]), int(f[i][k])) for i, k in enumerate(path)), after]
-            return sum(float(c[i][k]) for i, k in enumerate(path)) + sum(1.0 * ({a[1], b[1]} == {2, 3}) + 2.0 * (b[0] < a[0]) for a, b in zip(seq, seq[1:]))
 
-        got = _viterbi(u, f, c, before, after, 1.0, 2.0)
-        assert abs(cost(got) - min(cost(p) for p in itertools.product((0, 1), repeat=n))) < 1e-9
+@pytest.mark.parametrize("block", [3, 7, 1 << 16])
+def test_chains_cut_in_blocks_keep_their_path(spark, block):
+    """The cost of the chosen path is that of the best path of the whole chain, wherever it is cut; without a row of one reading as well."""
+    import itertools
+
+    rng = np.random.default_rng(block)
+    data, want = [], {}
+    for s, singles in (("a", 0.4), ("b", 0.1), ("c", 0.0)):
+        n = [1 if rng.uniform() < singles else 2 for _ in range(12)]
+        rows = [[(int(rng.integers(0, 60)), int(rng.integers(2, 4)), float(rng.integers(0, 3))) for _ in range(k)] for k in n]
+        data += [(s, i, r) for i, r in enumerate(rows)]
+        u, f, c = ([x[j] for r in rows for x in r] for j in range(3))
+        at = np.concatenate([[0], np.cumsum(n)]).tolist()
+        want[s] = (rows, min(path_cost(p, u, f, c) for p in itertools.product(*(range(a, b) for a, b in zip(at, at[1:])))))
+    df = spark.createDataFrame(data, "s string, i long, readings array<struct<us:bigint,form:int,cost:double>>")
+    got = {(r["s"], r["i"]): r["instant_us"] for r in resolve(df, "s", "i", keep=("s", "i"), block=block).collect()}
+    assert len(got) == len(data)
+    for s, (rows, best) in want.items():
+        options = [[x for x in r if x[0] == got[s, i]] for i, r in enumerate(rows)]
+        cost = min(path_cost(range(len(p)), *([x[j] for x in p] for j in range(3))) for p in itertools.product(*options))
+        assert abs(cost - best) < 1e-9
 
 
 def test_neighbours_decide_without_rule(spark):
@@ -123,6 +148,22 @@ def test_neighbours_decide_without_rule(spark):
     assert got[1] == us(2025, 3, 4) and got[4] == us(2025, 3, 5)
 
 
+def test_the_path_decides_found_rows(spark, monkeypatch):
+    """p5_found comes from the Viterbi: with the first reading in its place rows change."""
+    d = "/root/testdata/sf0.001"
+    rows = lambda: {(r["tab"], r["row_key"]): r["instant_us"] for r in core_problems.p5_found(spark, d).collect()}
+    want = rows()
+    free = {(r["tab"], r["row_key"]): r["instant_us"] for r in core_problems.p5_by_order(spark, d).collect()}
+    assert set(free) == set(want) and any(free[k] != v for k, v in want.items())
+    df = spark.createDataFrame([(i, "s", "05/03/2025", "UTC", None) for i in range(3)], "k int, source string, v string, z string, c timestamp")
+    first = interpretations(df, "v", F.col("z"), F.col("c")).select("k", F.col("readings")[0]["us"].alias("us"), F.size("readings").alias("n")).first()
+    assert first["n"] == 2 and first["us"] == us(2025, 3, 5)
+    df = spark.createDataFrame([(i, "s", "03/05/2025", "UTC", None) for i in range(3)], "k int, source string, v string, z string, c timestamp")
+    r = interpretations(df, "v", F.col("z"), F.col("c"))
+    assert r.select(F.col("readings")[0]["us"].alias("us")).first()["us"] == us(2025, 3, 5)  # the earliest reading, which the path does not take
+    assert {x["instant_us"] for x in resolve(r, "source", "k", keep=("k",)).collect()} == {us(2025, 5, 3)}
+
+
 def test_core_queries_run(spark):
     d = "/root/testdata/sf0.001"
     for q in core_problems.QUERIES.values():
