@@ -330,24 +330,49 @@ def test_mix(spark):
 
 def test_limits_are_found():
     rng = np.random.default_rng(0)
-    n = np.exp(rng.normal(5.3, 0.6, 20_000)).astype(int)
-    n = np.where(n > 400, 400, n)
-    u, c = np.unique(n, return_counts=True)
-    mu, sigma, post = cuts.fit_source(u, c)
-    assert set(post) == {400} and post[400] > 0.95 and abs(mu - 5.3) < 0.05 and abs(sigma - 0.6) < 0.05
-    assert cuts.fit_source(np.array([0]), np.array([3]))[2] == {}
+    for at in (400, 250):
+        n = np.concatenate([np.exp(rng.normal(5.3, 0.6, 15_000)), np.exp(rng.normal(4.1, 0.15, 5_000))]).astype(int)
+        n = np.where(n > at, at, n)
+        u, c = np.unique(n, return_counts=True)
+        post = cuts.fit_source(u, c)
+        assert set(post) == {at} and post[at] > 0.95
+        whole, _, _, _ = cuts.fit_mixture(np.log(u[u > 0]), c[u > 0].astype(float), np.zeros((u > 0).sum()), 2)
+        assert abs(whole.sum() - 1) < 1e-9
+    u, c = np.unique(np.exp(rng.normal(5.3, 0.6, 20_000)).astype(int), return_counts=True)
+    assert cuts.fit_source(u, c) == {} and cuts.fit_source(np.array([0]), np.array([3])) == {}
+
+
+def test_shares_of_cuts():
+    """A twentieth is cut, mostly within words: the cells that whole texts avoid tell it."""
+    texts = {"closed": 800.0, "end": 150.0, "new": 40.0, "mid": 5.0, "open": 5.0}
+    odds, ratio, share = cuts.learn_cells(texts, [{"new": 70.0, "mid": 2.0}, {"mid": 40.0, "end": 3.0}, {"open": 10.0}])
+    assert 0.04 < share < 0.06 and odds["new"] > 2 and odds["end"] < 0.01 and odds["closed"] == 0 and ratio["mid"] > 10 > 1 > ratio["end"]
+    assert cuts.learn_cells({}, [{}, {}, {}]) == ({}, {}, 0.0)
 
 
 def test_cut_texts(spark):
     ends = ["Quán đông vào đêm mưa nhưng anh giữ xe vẫn niềm nở.", "Hết 95k cho 56 người, có cả lẩu nấm chay.", "Gửi xe mất 21k, đi bộ thêm 31 bước mới tới cửa."]
     data = [(i, "a", " ".join([ends[i % 3], ends[(i + 1) % 3]]) + ["", " 😋😋", "\nhttps://x.example/1", "..."][i % 4]) for i in range(300)]
-    data += [(900, "a", ends[0] + " Hết 95k cho 56 ng"), (901, "a", ends[1] + " Quán đông vào đêm"), (902, "a", None), (903, "a", ""), (904, None, "  "), (905, "a", ends[0][:-1]), (906, "a", "!!!"), (907, "a", ends[2] + " Gửi xe m�"), (908, "a", "😋"), (909, "a", ends[0] + "\n- (4.0/5) ")]
-    df = spark.createDataFrame(data, "k long, source string, text string")
+    data += [(400 + i, "a", f"{ends[i % 3]} {ends[(i + 1) % 3][: 12 + i]}") for i in range(24)]
+    data += [(902, "a", None), (903, "a", ""), (904, None, "  "), (905, "a", ends[0][:-1]), (906, "a", "!!!"), (907, "a", ends[2] + " Gửi xe m�"), (908, "a", "😋"), (909, "a", ends[0] + "\n- (4.0/5) "), (910, "a", (ends[0] + " ") * 3000 + "Gửi xe mất 2")]
+    df = spark.createDataFrame(data, "k long, source string, text string").withColumn("base", F.lit("x"))
     out = cuts.detect_cuts(df, "k", "source", "text").collect()
-    assert len(out) == len(data) and {r["key"] for r in out if r["cut"]} == {900, 901, 907}
+    got, cut = {r["key"] for r in out if r["cut"]}, {*range(400, 424), 907, 910}
+    assert len(out) == len(data) and got <= cut and len(got) >= 23 and {907, 910} <= got
+    assert all(r["posterior"] == 0 for r in out if r["key"] in (902, 903, 904))
     assert cuts.detect_cuts(df.filter("false"), "k", "source", "text").count() == 0
 
 
+def test_the_fit_decides(spark, monkeypatch):
+    """Where endings say little, texts at the fitted limit are cut; without the fit they are not."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = lambda: {r["key"]: r["at_limit"] for r in cuts.detect_cuts(df, "doc_id", "source", "text").filter("cut").collect()}
+    a = found()
+    monkeypatch.setattr(cuts, "length_limits", lambda e: spark.createDataFrame([], "source string, base int, prior double"))
+    b = found()
+    assert sum(a.values()) > 0.2 * len(a) and not any(b.values()) and set(a) != set(b)
+
+
 # --- all ---
 
 
