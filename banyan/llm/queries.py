@@ -56,6 +56,11 @@ def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return entities.match_shops(table(spark, d, "store_master"))
 
 
+def p6_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How far the confidences hold on labelled pairs that neither fit nor calibration saw."""
+    return entities.calibration(table(spark, d, "store_master"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of each document by the byte-level tokenizer of 50k ids."""
     return tokens.encode(table(spark, d, "documents"), "text", tokens.tokenizer_path(), ("doc_id",))
@@ -93,7 +98,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return cuts.cut_rates(cuts.detect_cuts(table(spark, d, "documents"), "doc_id", "source", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p2_values": p2_values, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p2_values": p2_values, "p4_found": p4_found, "p6_found": p6_found, "p6_matches": p6_matches, "p6_calibration": p6_calibration, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 _NOTHING = ", ".join("'" + x + "'" for x in STAND_INS)
 
 

@@ -225,7 +225,8 @@ def test_bloom():
 
 def test_names_of_shops():
     assert entities.name_parts("Quán Vườn Khuya (Broken Rice)") == ("vuon khuya", "com tam")
-    assert entities.name_parts("Rơm Mưa - Gà Rán Kiều Oanh Nguyệt") == ("rom mua", "ga ran")
+    assert entities.name_parts("Rơm Mưa - Gà Rán Kiều Oanh Nguyệt") == ("rom mua kieu oanh nguyet", "ga ran")
+    assert entities.name_parts("Phở Gió Nhỏ Hoa") != entities.name_parts("Phở Gió Nhỏ Mây")
     assert entities.name_parts("Muối Nâu phở & more") == ("muoi nau", "pho")
     assert entities.name_parts(None) == ("", "") and entities._edit1("nooodle", "noodle") and not entities._edit1("abc", "xyz")
 
@@ -235,9 +236,41 @@ def test_isotonic_and_fit():
     s = rng.normal(size=2000)
     y = (rng.uniform(size=2000) < 1 / (1 + np.exp(-2 * s))).astype(int)
     at, p = entities.isotonic(s, y)
-    assert all(a <= b for a, b in zip(p, p[1:])) and all(0 < v < 1 for v in p)
-    q = np.array([p[max(0, np.searchsorted(at, v, side="right") - 1)] for v in s])
-    assert abs(q.mean() - y.mean()) < 0.02
+    assert all(a <= b for a, b in zip(p, p[1:])) and all(a < b for a, b in zip(at, at[1:])) and all(0 < v < 1 for v in p)
+    assert abs(np.interp(s, at, p).mean() - y.mean()) < 0.02 and entities.calibration_error(np.interp(s, at, p), y) < 0.02
+
+
+def test_streets_in_names(spark):
+    """A street at the end of a name is no part of its core, also where it is written wrongly; other words stay."""
+    names = [("a", "Phở Gió Nhỏ - Sa Khê Bích"), ("b", "Phở Gió Nhỏ Sa Khêê Bích"), ("c", "Phở Gió Nhỏ Hoa Mai"), ("d", "Sa Khê Bích"), ("e", "Cà Phê Nắng & quán nhỏ"), ("f", None)]
+    e = spark.createDataFrame([(k, n, None, None, None) for k, n in names], "id string, name string, street string, alleys string, house string")
+    got = {r["id"]: r["core"] for r in entities.named(e, "name", "id", spark.createDataFrame([("sa khe bich",)], "street string")).collect()}
+    assert got == {"a": "gio nho", "b": "gio nho", "c": "gio nho hoa mai", "d": "sa khe bich", "e": "nang", "f": ""}
+
+
+def test_split_join(spark):
+    """A block that holds most rows of both sides gives each pair once, in parts."""
+    left = spark.createDataFrame([("hot" if i % 3 else f"b{i}", i) for i in range(90)], "block string, l long")
+    right = spark.createDataFrame([("hot" if i % 2 else f"b{i}", i) for i in range(80)], "block string, r long")
+    want = sorted((a["l"], b["r"]) for a in left.collect() for b in right.collect() if a["block"] == b["block"])
+    assert rows(entities.split_join(left, right, 7).select("l", "r")) == want and len(want) > 2000
+
+
+def test_confidence_is_calibrated(spark, monkeypatch):
+    """On labels kept out of fit and calibration; with the prior model in the place of the fit the score separates less."""
+    m = spark.read.parquet("/root/testdata/sf0.01/store_master.parquet")
+    sides = entities.shop_sides(m)
+    sample = entities.labelled_sample(entities.features(entities.candidates(*sides), *sides))
+    model, x, y = entities.learn(sample)
+    assert len(y) > 100 and 0 < y.mean() < 1 and entities.calibration_error(model.probability(x), y) <= 0.05
+    loss = lambda w, b: float(np.mean(np.logaddexp(0, -(2 * y - 1) * (x @ w + b))))
+    fitted = loss(model.weights, model.intercept)
+    assert fitted < 0.7 * loss(*entities.fit(x[:1], np.array([1])))  # one label: the prior model
+    z = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(model.confidence(model.score(F.col("x"))).alias("c")).toPandas()["c"].to_numpy()
+    assert np.allclose(z, model.probability(x))
+    found = {tuple(r) for r in entities.match(*sides).select("store_id", "place_id").collect()}
+    monkeypatch.setattr(entities, "fit", lambda x, y, ridge=1.0: (np.zeros(len(entities.FEATURES)), 0.0))
+    assert {tuple(r) for r in entities.match(*sides).select("store_id", "place_id").collect()} != found
 
 
 def test_match_on_small_tables(spark):
@@ -272,8 +305,8 @@ def test_planted_shops(spark):
 
 def test_misspelt_names_are_candidates(spark):
     """Short cores with a letter or two wrong: some share no band, all are candidates where they share a place."""
-    cols = "name string, core string, kind string, bands array<bigint>, lat double, lng double, district string, street string, alleys string, house string"
-    make = lambda key, got: spark.createDataFrame([(k, n, c, "", entities._bands(c), lat, lng, d, st, al, h) for k, n, c, lat, lng, d, st, al, h in got], f"{key} string, {cols}")
+    cols = "name string, core string, kind string, bands array<bigint>, address_bands array<bigint>, lat double, lng double, district string, street string, alleys string, house string"
+    make = lambda key, got: spark.createDataFrame([(k, n, c, "", entities._bands(c), entities._address_bands(st, al, h), lat, lng, d, st, al, h) for k, n, c, lat, lng, d, st, al, h in got], f"{key} string, {cols}")
     pairs = [("la hong", "la houg"), ("gio nho", "gio nno"), ("may tim", "may tm"), ("nep", "nepp"), ("khoi vang", "hkoi vang"), ("soc luoi", "luoi soc"), ("x" * 40 + " tim", "x" * 20 + "y" + "x" * 19 + " tim")]
     assert not set(entities._bands("la hong")) & set(entities._bands("la houg"))
     lat = [20.9 + 0.1 * i for i in range(len(pairs))]
