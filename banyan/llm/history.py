@@ -3,22 +3,29 @@
 A text is reduced to its own words (lower case, no accents, no ready-made tags, no "more" marker). Windows of
 `SHINGLE` words are hashed with the text's key and winnowed: the least hash of every `WINDOW` windows in a row is a
 fingerprint, so two texts that share SHINGLE + WINDOW - 1 words in a row share one. A persistent store in a
-shared folder holds, for each hash partition and each accepted batch, a Bloom filter, the sorted fingerprints of the first
-rows of reviews, and the own words of all rows. A batch is screened with the Bloom filters; positives are looked
-up by binary search in memory-mapped files, so the cost follows the batch, not the history. Candidates are verified
-by the words that they share in order. Rows that repeat no earlier row are accepted into the store.
+shared folder holds, for each hash partition and each segment, a Bloom filter, the sorted fingerprints of the first
+rows of reviews, and the own words of all rows; a manifest names the segments, so that any later process opens the store and goes on.
+A batch is screened with the Bloom filters; positives are looked up by binary search in the blocks of sorted files that may hold them
+(memory-mapped where the folder is mounted, read by block elsewhere), so the cost follows the batch, not the history.
+Candidates are verified by the share of words that they have in common in order. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
+segments of about one size have gathered they are merged, so a fingerprint is sought in few files after any number of batches.
 
 Defined results: null, empty and tag-only texts, and texts with fewer than `MIN_CHARS` characters of own words, are neither kept
-nor repeated; null keys form a key of their own; equal ids must not occur; a null or stand-in name fits any name; a
-text repeated any number of times links to its first row; texts of any length are used whole; an empty batch adds an empty segment;
-extra columns are ignored. Tasks write their files under a temporary name and rename them, so a repeated task is harmless.
+nor repeated; null keys form a key of their own; rows with a null batch are the last batch; equal ids must not occur; a null or stand-in name fits any name; a
+text repeated any number of times links to its first row; a row that fits a repeated row of another name but not that row's first row
+is itself a first row unless another row fits; texts of any length are used whole; an empty batch adds an empty segment;
+extra columns are ignored. Tasks write their files under a temporary name and rename them, so a repeated task is harmless; a batch that
+failed on its way is not in the manifest and may be added again.
 """
 
 from __future__ import annotations
 
 import io
+import json
+import math
 import os
 import re
+import shutil
 import unicodedata
 import uuid
 import zlib
@@ -26,17 +33,16 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banyan.session import STAND_INS, durable, shared_dir, stored
+from banyan.session import STAND_INS, shared_dir, stored
 
 SHINGLE, WINDOW, MIN_CHARS = 8, 5, 40
-#: The least share of a text's fingerprints that an earlier text must have to be compared with it word by word.
-COVERAGE = 0.12
+#: Segments of about one size that are merged, and rows of a block of a sorted file.
+FANOUT, ROWS = 8, 1 << 15
 #: The ready-made tags of the app, and words that mark a copy without telling more.
 TAGS = ("gọn gàng sạch", "sẽ đặt lại", "giao nhanh gọn", "hơi nguội", "phần đầy đặn", "hợp túi tiền", "nhạt vị", "gói hàng kỹ", "thiếu món", "ngon tuyệt")
 ADDED = ("review", "p/s", "cập nhật", "đã sửa", "nhé mọi người")
@@ -210,26 +216,89 @@ def _write(path: str, data: bytes) -> None:
     fs.move(p + temp[len(path) :], p)
 
 
-def _open(path: str) -> pa.Table | None:
-    """The table in a file, memory-mapped where the folder is mounted; None where there is none."""
+def _source(path: str):
+    if p := _local(path):
+        return pa.memory_map(p)
+    fs, q = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(q)
+
+
+def _read(path: str) -> bytes | None:
     try:
         if p := _local(path):
-            source = pa.memory_map(p)
-        else:
-            fs, q = pafs.FileSystem.from_uri(path)
-            source = fs.open_input_file(q)
-        return pa.ipc.open_file(source).read_all()
+            with open(p, "rb") as f:
+                return f.read()
+        fs, q = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(q) as f:
+            return f.read()
     except FileNotFoundError:
         return None
 
 
-def _ipc(t: pa.Table) -> bytes:
+def _remove(path: str) -> None:
+    if p := _local(path):
+        shutil.rmtree(p, ignore_errors=True)
+        return
+    fs, q = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(q).type != pafs.FileType.NotFound:
+        fs.delete_dir(q)
+
+
+def _ipc(t: pa.Table, key: str) -> bytes:
+    """A sorted table in blocks, whose first keys are in the schema."""
     sink = io.BytesIO()
-    with pa.ipc.new_file(sink, t.schema) as w:
-        w.write_table(t.combine_chunks())
+    t = t.combine_chunks()
+    first = t[key].to_numpy()[::ROWS].astype(np.int64)
+    with pa.ipc.new_file(sink, t.schema.with_metadata({"first": first.tobytes()})) as w:
+        w.write_table(t, max_chunksize=ROWS)
     return sink.getvalue()
 
 
+class Sorted:
+    """A sorted file, of which only the blocks that are asked for are read; `most` of them are kept."""
+
+    def __init__(self, path: str, key: str, most: int = 64):
+        self.reader, self.key, self.most = pa.ipc.open_file(_source(path)), key, most
+        self.first = np.frombuffer(self.reader.schema.metadata[b"first"], np.int64)
+        self.blocks: dict[int, tuple[np.ndarray, pa.RecordBatch]] = {}
+
+    @classmethod
+    def open(cls, path: str, key: str) -> Sorted | None:
+        try:
+            return cls(path, key)
+        except FileNotFoundError:
+            return None
+
+    def block(self, i: int) -> tuple[np.ndarray, pa.RecordBatch]:
+        if i not in self.blocks:
+            if len(self.blocks) >= self.most:
+                self.blocks.pop(next(iter(self.blocks)))
+            b = self.reader.get_batch(i)
+            self.blocks[i] = b.column(self.key).to_numpy(), b
+        return self.blocks[i]
+
+    def hits(self, keys: np.ndarray, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions in the sorted keys, values of column) of all rows with one of the keys, block by block."""
+        lo, hi = np.maximum(np.searchsorted(self.first, keys) - 1, 0), np.searchsorted(self.first, keys, side="right")
+        for i in np.unique(np.concatenate([np.arange(a, b) for a, b in np.unique(np.stack([lo, hi], 1), axis=0)])) if len(keys) else ():
+            at = np.flatnonzero((lo <= i) & (i < hi))
+            k, b = self.block(int(i))
+            q, rows = _ranges(np.searchsorted(k, keys[at]), np.searchsorted(k, keys[at], side="right"))
+            if len(q):
+                yield at[q], b.column(column).to_numpy()[rows]
+
+    def row(self, key: int) -> pa.RecordBatch | None:
+        i = int(np.searchsorted(self.first, key, side="right")) - 1
+        if i < 0:
+            return None
+        k, b = self.block(i)
+        at = int(np.searchsorted(k, key))
+        return b.slice(at, 1) if at < len(k) and k[at] == key else None
+
+    def table(self) -> pa.Table:
+        return self.reader.read_all()
+
+
 PROBES = 6
 
 
@@ -247,6 +316,10 @@ def bloom(fp: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
+def bloom_file(fp: np.ndarray) -> bytes:
+    return max(64, 10 * len(fp)).to_bytes(8, "little") + bloom(fp).tobytes()
+
+
 def bloom_has(packed: np.ndarray, size: int, fp: np.ndarray) -> np.ndarray:
     at = _bits(fp, size)
     return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
@@ -290,10 +363,51 @@ def _fitting(ids: np.ndarray, who: np.ndarray, cells: int = 4_000_000) -> Iterat
 
 
 class FingerprintStore:
-    """Accepted fingerprints and words in a shared folder, in `parts` hash partitions and one segment a batch."""
-
-    def __init__(self, folder: str, parts: int = 32, all_pairs_to: int = 64):
-        self.folder, self.parts, self.all_pairs_to, self.segments = folder.rstrip("/"), parts, all_pairs_to, []
+    """Accepted fingerprints and words in a shared folder, in `parts` hash partitions and segments; see the manifest for what is in it."""
+
+    def __init__(self, folder: str, parts: int = 32, piece: int = 64):
+        """Opens the store in the folder, or makes one; `parts` is fixed when it is made. Posting lists longer than `piece` are paired in pieces."""
+        self.folder, self.parts, self.piece = folder.rstrip("/"), parts, piece
+        self.segments: dict[str, int] = {}  # name -> rows
+        self.batches: list[str] = []
+        if (have := _read(f"{self.folder}/manifest.json")) is not None:
+            m = json.loads(have)
+            self.parts, self.segments, self.batches = m["parts"], m["segments"], m["batches"]
+
+    def _commit(self) -> None:
+        _write(f"{self.folder}/manifest.json", json.dumps({"parts": self.parts, "segments": self.segments, "batches": self.batches}).encode())
+
+    def compact(self, spark: SparkSession) -> None:
+        """Merges segments where FANOUT of about one size have gathered; the files of others are not touched."""
+        size = lambda n: int(math.log(n + 1, FANOUT))
+        levels: dict[int, list[str]] = {}
+        for s, n in self.segments.items():
+            levels.setdefault(size(n), []).append(s)
+        for old in levels.values():
+            if len(old) < FANOUT:
+                continue
+            folder, parts, name = self.folder, self.parts, f"merged-{uuid.uuid4().hex}"
+
+            def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for part in b.column("id").to_pylist():
+                        for kind, key in (("docs", "id"), ("prints", "fp")):
+                            files = [x for s in old if (x := Sorted.open(f"{folder}/{kind}/{s}/{part}.arrow", key))]
+                            if not files:
+                                continue
+                            t = pa.concat_tables([x.table().replace_schema_metadata(None) for x in files])
+                            t = t.take(pa.array(np.argsort(t[key].to_numpy(), kind="stable")))
+                            _write(f"{folder}/{kind}/{name}/{part}.arrow", _ipc(t, key))
+                            if kind == "prints":
+                                _write(f"{folder}/prints/{name}/{part}.bloom", bloom_file(t["fp"].to_numpy()))
+                        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+            spark.range(parts).repartition(parts).mapInArrow(merge, "n bigint").agg(F.sum("n")).collect()
+            self.segments = {s: n for s, n in self.segments.items() if s not in old} | {name: sum(self.segments[s] for s in old)}
+            self._commit()
+            for s in old:
+                _remove(f"{folder}/docs/{s}")
+                _remove(f"{folder}/prints/{s}")
 
     def sketch(self, df: DataFrame, row: str, key: str, name: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
         """(id, name, words, prints, store key's hash, *extra) of each row whose own words are long enough."""
@@ -314,85 +428,78 @@ class FingerprintStore:
         return src.mapInArrow(run, ", ".join(["id bigint, name string, words string, prints array<bigint>, key bigint", *(f"{c} {types[c]}" for c in extra)]))
 
     def add(self, sketch: DataFrame, segment: str) -> DataFrame:
-        """The links (new, old, new_name, old_name) of a batch, which is then part of the store.
+        """(new, root) of the rows of a batch that repeat an earlier one of history or of the batch; the batch is then part of the store.
 
-        old is the first earlier row, of history or of the batch, that tells the same; rows without a link are first rows.
+        root is the first row of the review.
         """
-        folder, parts, old_segments, limit = self.folder, self.parts, tuple(self.segments), self.all_pairs_to
+        spark = sketch.sparkSession
+        folder, parts, old_segments, piece = self.folder, self.parts, tuple(self.segments), self.piece
         docs = sketch.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "name", "words", "key")
 
         def write_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t.select(["id", "name", "words", "key"])))
+                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t.select(["id", "name", "words", "key"]), "id"))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
-        tasks = min(parts, int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        docs.repartition(tasks, "part").sortWithinPartitions("part", "id").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).collect()
+        tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        count = docs.repartition(tasks, "part").sortWithinPartitions("part", "id").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).first()[0]
 
         # equal texts of one name link to the first of them by aggregation, so that a group of copies of any size sends one row on
         ids = sketch.select("id", "name", F.xxhash64("prints", "words").alias("h"))
         groups = ids.groupBy("h", "name").agg(F.min("id").alias("old"), F.count("*").alias("n")).filter("n > 1")
-        copies = ids.join(groups, ["h", "name"]).filter("id <> old").select(F.col("id").alias("new"), "old", F.col("name").alias("new_name"), F.col("name").alias("old_name"))
+        copies = ids.join(groups, ["h", "name"]).filter("id <> old").select(F.col("id").alias("new"), "old")
         copies = stored(copies, f"copies-{segment}")
         firsts = sketch.select("id", "name", "prints").join(copies.select(F.col("new").alias("id")), "id", "left_anti")
         who = F.when((F.col("name") == "") | F.col("name").contains("*"), 0).otherwise(F.hash("name"))
-        prints = firsts.select("id", who.alias("who"), F.size("prints").cast("smallint").alias("n"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
+        prints = firsts.select("id", who.alias("who"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
                 fp, ids, who = t["fp"].to_numpy(), t["id"].to_numpy(), t["who"].to_numpy()
-                count = dict(zip(ids.tolist(), t["n"].to_pylist()))
 
                 def hits(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
                     if len(a):
-                        pair, shared = np.unique(np.stack([a, b], 1)[a > b], axis=0, return_counts=True)
-                        n = np.fromiter((count[x] for x in pair[:, 0].tolist()), np.int16, len(pair))
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(n), pa.array(shared.astype(np.int32))], ["new", "old", "n", "shared"])
+                        pair = np.unique(np.stack([a, b], 1)[a > b], axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["new", "old"])
 
                 new, old = [], []
                 starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
                 sizes = np.diff(np.concatenate([starts, [len(fp)]]))
-                small = np.repeat(sizes, sizes) <= limit
-                for d in range(1, min(limit, int(sizes.max()))):  # within the batch: ids of a fingerprint are in order
+                small = np.repeat(sizes, sizes) <= piece
+                for d in range(1, min(piece, int(sizes.max()))):  # within the batch: ids of a fingerprint are in order
                     ok = np.flatnonzero((fp[d:] == fp[:-d]) & small[d:])
                     new.append(ids[d:][ok])
                     old.append(ids[:-d][ok])
-                for i in np.flatnonzero(sizes > limit):  # of a frequent fingerprint only the pairs that a name allows, in pieces
+                for i in np.flatnonzero(sizes > piece):  # of a frequent fingerprint only the pairs that a name allows, in pieces
                     at = slice(starts[i], starts[i] + sizes[i])
                     for a, b in _fitting(ids[at], who[at]):
                         yield from hits(a, b)
                 for s in old_segments:
-                    filt = _open(f"{folder}/prints/{s}/{part}.bloom")
+                    filt = _read(f"{folder}/prints/{s}/{part}.bloom")
                     if filt is None:
                         continue
-                    hit = np.flatnonzero(bloom_has(filt["bits"].to_numpy(), int(filt.schema.metadata[b"size"]), fp))
-                    if not len(hit):
-                        continue
-                    seg = _open(f"{folder}/prints/{s}/{part}.arrow")
-                    sf = seg["fp"].to_numpy()
-                    q, at = _ranges(np.searchsorted(sf, fp[hit]), np.searchsorted(sf, fp[hit], side="right"))
-                    new.append(ids[hit][q])
-                    old.append(seg["id"].to_numpy()[at])
+                    hit = np.flatnonzero(bloom_has(np.frombuffer(filt, np.uint8, offset=8), int.from_bytes(filt[:8], "little"), fp))
+                    if len(hit):
+                        for q, at in Sorted.open(f"{folder}/prints/{s}/{part}.arrow", "fp").hits(fp[hit], "id"):
+                            new.append(ids[hit[q]])
+                            old.append(at)
                 if new:
                     yield from hits(np.concatenate(new), np.concatenate(old))
 
         by_print = prints.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id")
-        pairs = by_print.mapInArrow(look_up, "new bigint, old bigint, n smallint, shared int").groupBy("new", "old").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-        pairs = pairs.filter(F.col("shared") >= COVERAGE * F.col("n")).select("new", "old")
+        pairs = by_print.mapInArrow(look_up, "new bigint, old bigint").distinct()
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files: dict[tuple[str, int], tuple[np.ndarray, pa.Table] | None] = {}
+            files: dict[tuple[str, int], Sorted | None] = {}
 
             def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str], int, bool]:
                 part = i % parts
                 for s in where:
                     if (s, part) not in files:
-                        t = _open(f"{folder}/docs/{s}/{part}.arrow")
-                        files[s, part] = None if t is None else (t["id"].to_numpy(), t)
-                    if f := files[s, part]:
-                        at = int(np.searchsorted(f[0], i))
-                        if at < len(f[0]) and f[0][at] == i:
-                            return f[1]["name"][at].as_py(), f[1]["words"][at].as_py().split(" "), f[1]["key"][at].as_py(), s == segment
+                        files[s, part] = Sorted.open(f"{folder}/docs/{s}/{part}.arrow", "id")
+                    f = files[s, part]
+                    if f is not None and (r := f.row(i)) is not None:
+                        return r.column("name")[0].as_py(), r.column("words")[0].as_py().split(" "), r.column("key")[0].as_py(), s == segment
                 raise KeyError(i)
 
             everywhere = (segment, *reversed(old_segments))
@@ -418,7 +525,7 @@ class FingerprintStore:
             """Each row's first candidate whose own first row fits it by name; rows without one are first rows. A key's rows come in order."""
             at, first = None, {}
             for b in batches:
-                out: list[tuple[int, int, str, str]] = []
+                out: list[tuple[int, int]] = []
                 for key, new, old, n, m in zip(*(c.to_pylist() for c in b.columns)):
                     if key != at:
                         at, first = key, {}
@@ -427,59 +534,49 @@ class FingerprintStore:
                     root, name = first.get(old, (old, m))
                     if names_fit(n, name):
                         first[new] = (root, name)
-                        out.append((new, root, n, name))
+                        out.append((new, root))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["new", "old", "new_name", "old_name"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["new", "root"])
 
         fits = pairs.repartition(tasks, "new").sortWithinPartitions("new", "old").mapInArrow(verify, "key bigint, new bigint, old bigint, new_name string, old_name string")
-        links = fits.repartition(tasks, "key").sortWithinPartitions("key", "new", "old").mapInArrow(resolve, "new bigint, old bigint, new_name string, old_name string")
+        links = fits.repartition(tasks, "key").sortWithinPartitions("key", "new", "old").mapInArrow(resolve, "new bigint, root bigint")
         links = stored(links, f"links-{segment}")
-        self.segments.append(segment)
 
         def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                bits = pa.table({"bits": pa.array(bloom(t["fp"].to_numpy()))}).replace_schema_metadata({"size": str(max(64, 10 * t.num_rows))})
-                _write(f"{folder}/prints/{segment}/{part}.arrow", _ipc(t.select(["fp", "id"])))
-                _write(f"{folder}/prints/{segment}/{part}.bloom", _ipc(bits))
+                _write(f"{folder}/prints/{segment}/{part}.arrow", _ipc(t.select(["fp", "id"]), "fp"))
+                _write(f"{folder}/prints/{segment}/{part}.bloom", bloom_file(t["fp"].to_numpy()))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
         first = prints.join(links.select(F.col("new").alias("id")), "id", "left_anti")
         first.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id").mapInArrow(accept, "n bigint").agg(F.sum("n")).collect()
-        return links.unionByName(copies)
-
-
-def first_rows(links: DataFrame) -> DataFrame:
-    """(new, root) of each link: the chains of links within a batch followed to their first row, by pointer jumping."""
-
-    @F.pandas_udf("boolean")
-    def fits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([names_fit(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    cur = durable(links.select("new", F.col("old").alias("root"), "new_name", F.col("old_name").alias("root_name")))
-    while True:
-        nxt = cur.select(F.col("new").alias("root"), F.col("root").alias("__root"), F.col("root_name").alias("__name"))
-        step = durable(cur.join(nxt, "root", "left").select("new", F.coalesce("__root", "root").alias("root"), "new_name", F.coalesce("__name", "root_name").alias("root_name"), F.col("__root").isNotNull().alias("moved")))
-        cur = step.drop("moved")
-        if not step.filter("moved").limit(1).count():
-            break
-    return cur.filter((F.col("new_name") == F.col("root_name")) | fits("new_name", "root_name")).select("new", "root")
+        self.segments[segment] = count or 0
+        self.batches.append(segment)
+        self._commit()
+        self.compact(spark)
+        # a copy has the name of the first of its copies, so it fits that row's first row as well
+        return links.unionByName(copies.join(links.select(F.col("new").alias("old"), "root"), "old", "left").select("new", F.coalesce("root", "old").alias("root")))
 
 
-def repeated_rows(df: DataFrame, row: str, batch: str, key: str, name: str, text: str, parts: int | None = None) -> DataFrame:
+def repeated_rows(df: DataFrame, row: str, batch: str, key: str, name: str, text: str, parts: int | None = None, folder: str | None = None) -> DataFrame:
     """(kept_id, dup_id) over the batches of df, taken one after the other in the order of `batch`.
 
+    `folder` holds the store; batches that are in it already are left out. Without it the store is made anew.
     `parts` is fixed for the life of a store; by default a part gets about 200,000 texts.
     """
     spark = df.sparkSession
-    store = FingerprintStore(f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", parts or 32)
-    sketch = stored(store.sketch(df, row, key, name, text, (batch,)), "sketch", [batch])
-    if parts is None:
+    store = FingerprintStore(folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", parts or 32)
+    label = F.coalesce(F.concat(F.lit("batch-"), F.col(batch).cast("string")), F.lit("batch-none"))
+    numbers = sorted((r[0] for r in df.select(batch).distinct().collect()), key=lambda x: (x is None, x))  # one value a batch
+    numbers = [n for n in numbers if f"batch-{'none' if n is None else n}" not in store.batches]
+    sketch = stored(store.sketch(df.withColumn("__batch", label), row, key, name, text, ("__batch",)), "sketch", ["__batch"])
+    if parts is None and not store.batches:
         store.parts = max(32, -(-sketch.count() // 200_000))
-    numbers = sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] is not None)  # one value a batch
     links = None
     for n in numbers:
-        out = store.add(sketch.filter(F.col(batch) == n), f"batch-{n}")
+        label = f"batch-{'none' if n is None else n}"
+        out = store.add(sketch.filter(F.col("__batch") == label), label)
         links = out if links is None else links.unionByName(out)
     if links is None:
         return spark.createDataFrame([], "kept_id bigint, dup_id bigint")
-    return first_rows(links).select(F.col("root").alias("kept_id"), F.col("new").alias("dup_id"))
+    return links.select(F.col("root").alias("kept_id"), F.col("new").alias("dup_id"))

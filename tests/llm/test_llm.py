@@ -177,6 +177,56 @@ def test_chain_to_another_name(spark):
     assert rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4)) == [(1, 2), (1, 7), (3, 4), (3, 5), (3, 6)]
 
 
+OTHER_PROCESS = """
+import sys
+sys.path.insert(0, {root!r})
+from banyan.llm import history
+from banyan.session import build_session
+spark = build_session(2, "2g")
+df = spark.createDataFrame({rows!r}, "i long, b int, s string, n string, t string")
+print("GOT", sorted(tuple(r) for r in history.repeated_rows(df, "i", "b", "s", "n", "t", folder={folder!r}).collect()))
+"""
+
+
+def test_store_goes_on_in_another_process(spark, tmp_path):
+    """A later process opens the store, adds a batch without touching what is there, and finds repeats of its rows."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    folder = str(tmp_path / "store")
+    data = [review(1, 0, "Ong", LONG), review(2, 1, "Ong", "Review: " + LONG), review(3, None, None, LONG + " nhé"), review(4, 0, "Ong", LONG.replace("vải", "sen").replace("bún", "xôi") * 2)]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    assert rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4, folder=folder)) == [(1, 2), (1, 3)]  # a null batch comes last
+    assert rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=4, folder=folder)) == []
+    before = {p: p.stat().st_mtime_ns for p in Path(folder).rglob("*.arrow")}
+    code = OTHER_PROCESS.format(root=str(Path(history.__file__).resolve().parents[2]), rows=[review(9, 2, None, LONG.upper()), review(10, 2, None, "khác " * 30)], folder=folder)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "GOT [(1, 9)]" in out.stdout, out.stderr[-2000:]
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items()) and len(list(Path(folder).rglob("*.arrow"))) > len(before)
+
+
+def test_segments_are_merged(spark, tmp_path):
+    tells = [" ".join(random.Random(i).choices([f"từ{j}" for j in range(300)], k=20)) for i in range(12)]
+    data = [review(100 * b + i, b, None, tells[i]) for b in range(10) for i in range(12)]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    got = {d: k for k, d in rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=3, folder=str(tmp_path / "s")))}
+    assert got == {100 * b + i: i for b in range(1, 10) for i in range(12)}
+    store = history.FingerprintStore(str(tmp_path / "s"))
+    assert len(store.batches) == 10 and len(store.segments) == 3 and store.parts == 3 and len(list((tmp_path / "s" / "docs").iterdir())) == 3
+
+
+def test_sorted_files_are_read_by_block(tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "ROWS", 5)
+    k = np.sort(np.random.default_rng(2).integers(0, 40, 203))
+    history._write(str(tmp_path / "x.arrow"), history._ipc(history.pa.table({"fp": k, "id": np.arange(203)}), "fp"))
+    f = history.Sorted(str(tmp_path / "x.arrow"), "fp", most=3)
+    asked = np.array([0, 3, 3, 17, 39, 55])
+    got = sorted((int(a), int(v)) for q, vs in f.hits(asked, "id") for a, v in zip(q, vs))
+    assert got == sorted((i, int(j)) for i, x in enumerate(asked) for j in np.flatnonzero(k == x)) and len(f.blocks) <= 3
+    assert history.Sorted.open(str(tmp_path / "none.arrow"), "fp") is None
+
+
 def test_history_against_all_pairs(spark):
     """Against a plain comparison of all texts of a store."""
     r = spark.read.parquet(f"{D}/review_fact.parquet").select("ingest_id", "store_id", "reviewer", "review_text").orderBy("ingest_id").collect()
