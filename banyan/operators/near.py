@@ -6,6 +6,8 @@ rows of either side is split by salts, in a grid of location parts and query par
 latitude, and a window of query points moves over the locations it can reach, which are kept in order of
 longitude; a pair that passes both bounds is verified by the haversine distance.
 
+Circles that cross the line where longitudes begin anew are sought on both sides of it.
+
 Defined results: null or non-finite coordinates, coordinates outside `bounds`, and null, NaN or negative radii
 have no pairs; identical rows count once, and a key with several positions has a row for each that fits;
 empty tables give no rows; other columns, whatever their names, are ignored.
@@ -105,6 +107,10 @@ def points_within(
     ps = ps.withColumn("strip", strip_of("lat"))
     qs = qs.withColumns({"lo": strip_of(F.col("lat") - F.col("reach") * deg - 1e-9), "hi": strip_of(F.col("lat") + F.col("reach") * deg + 1e-9)})
     qs = qs.withColumn("strip", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    if e1 - e0 >= 360:  # a circle over the line where longitudes begin anew is sought on both sides of it
+        span = F.when(F.abs("lat") + F.col("reach") * deg >= 89.9, 360.0).otherwise(F.col("reach") * deg / F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + F.col("reach") * deg))) + 1e-6)
+        turns = F.array_compact(F.array(F.lit(0.0), F.when((F.col("lng") + span > 180) & (span < 180), F.lit(-360.0)), F.when((F.col("lng") - span < -180) & (span < 180), F.lit(360.0))))
+        qs = qs.withColumn("turn", F.explode(turns)).withColumn("lng", F.col("lng") + F.col("turn")).drop("turn")
     # one row a strip, so at most max_strips rows
     counts = (
         ps.groupBy("strip").agg(F.count("*").alias("np"))

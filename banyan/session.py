@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,6 +22,7 @@ def build_session(cores: int = 8, memory: str = "16g", **conf: str) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -48,16 +50,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where the cluster names none."""
+    """The folder all executors share. A local one is made only for a local master where the session names none."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="banyan-checkpoint-")
+        atexit.register(shutil.rmtree, at, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def _drop(path: str) -> None:
+    if path.startswith("file:") or path.startswith("/"):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    import pyarrow.fs as pafs
+
+    fs, q = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(q).type != pafs.FileType.NotFound:
+        fs.delete_dir(q)
+
+
+_scratch: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder within the shared one for this application's tables; it is removed when the driver ends."""
+    at = f"{shared_dir(spark)}/banyan-{spark.sparkContext.applicationId}"
+    if at not in _scratch:
+        _scratch.add(at)
+        atexit.register(_drop, at)
+    return at
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df cut from their lineage by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -67,7 +95,7 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """The rows of df written to the shared folder as a columnar table and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -36,6 +36,17 @@ def test_near_against_brute_force(spark, strip_rows):
     assert len(got) == len(set(got)) and set(got) == brute(q, p)
 
 
+def test_near_over_the_date_line(spark):
+    rng = np.random.default_rng(6)
+    q = pd.DataFrame({"key": [f"q{i}" for i in range(80)], "lat": rng.uniform(-80, 80, 80), "lng": np.where(rng.uniform(size=80) < 0.5, 179.99, -179.99) + rng.uniform(-0.01, 0.01, 80), "reach": rng.uniform(0, 400_000, 80)})
+    q.loc[0, ["lat", "reach"]] = [89.0, 500_000.0]
+    p = pd.DataFrame({"key": [f"p{i}" for i in range(300)], "lat": rng.uniform(-82, 82, 300), "lng": (rng.uniform(-6, 6, 300) + 360) % 360 - 180})
+    p.loc[0, ["lat", "lng"]] = [89.5, 0.0]
+    got = [tuple(r)[:2] for r in near(spark, q, p).collect()]
+    want = brute(q, p)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100 and ("q0", "p0") in want
+
+
 def test_near_edge_cases(spark):
     q = pd.DataFrame({"key": ["a", "a", "b", "c", None], "lat": [20.0, 20.0, None, 95.0, 20.0], "lng": [105.0] * 5, "reach": [0.0, 0.0, 9.0, 9.0, 9.0]})
     p = pd.DataFrame({"key": ["p", "p"], "lat": [20.0, 20.0], "lng": [105.0, 105.0]})
