@@ -232,24 +232,29 @@ def candidates(stores: DataFrame, places: DataFrame, proposed: DataFrame) -> Dat
     misspelt forms of each other.
     """
 
-    def blocks(e: DataFrame, key: str, around: bool, band) -> DataFrame:
-        b = e.select(key, "district", "address_bands", "lat", "lng", band.alias("band"))
+    def blocks(e: DataFrame, key: str, around: bool) -> DataFrame:
+        """(block, key) of entities with a column `band`."""
         i, j = F.col("lat") / CELL, F.col("lng") / CELL
         # the cell of the point, and for stores the three next to it on the nearer sides
         cells = [(F.floor(i + a), F.floor(j + o)) for a in (-0.5, 0.5) for o in (-0.5, 0.5)] if around else [(F.floor(i), F.floor(j))]
-        geo = b.filter("lat is not null").select(key, F.explode(F.array(*(F.xxhash64(F.lit("g"), "band", *c) for c in cells))).alias("block"))
-        return (
-            b.filter("district is not null").select(key, F.xxhash64(F.lit("d"), "band", "district").alias("block"))
-            .unionByName(b.select(key, "band", F.explode("address_bands").alias("a")).select(key, F.xxhash64(F.lit("a"), "band", "a").alias("block")))
-            .unionByName(geo)
-        ).select("block", key)
-
-    def met(s: DataFrame, s_band, p_band, banded: bool) -> DataFrame:
-        return split_join(blocks(s, "store_id", True, s_band), blocks(places, "place_id", False, p_band)).select("store_id", "place_id", F.lit(banded).alias("banded"))
-
-    pairs = met(stores, F.explode("bands"), F.explode("bands"), True).unionByName(proposed.withColumn("banded", F.lit(True)))
+        keys = F.concat(
+            F.when(F.col("district").isNotNull(), F.array(F.xxhash64(F.lit("d"), "band", "district"))).otherwise(F.array().cast("array<bigint>")),
+            F.transform("address_bands", lambda x: F.xxhash64(F.lit("a"), "band", x)),
+            F.when(F.col("lat").isNotNull(), F.array(*(F.xxhash64(F.lit("g"), "band", *c) for c in cells))).otherwise(F.array().cast("array<bigint>")),
+        )
+        return durable(e.select(F.explode(keys).alias("block"), key))
+
+    cols = ["district", "address_bands", "lat", "lng"]
+    banded = lambda e, key: e.select(key, *cols, F.explode(F.transform("bands", lambda x: F.xxhash64(F.lit("m"), x))).alias("band"))
+    whole = lambda e, key, core: e.select(key, *cols, F.xxhash64(F.lit("w"), core).alias("band"))
     alike = stores.join(near_cores(stores, places), "core")
-    return pairs.unionByName(met(alike, F.xxhash64("other"), F.xxhash64("core"), False)).groupBy("store_id", "place_id").agg(F.max("banded").alias("banded"))
+    left = blocks(banded(stores, "store_id").unionByName(whole(alike, "store_id", "other")), "store_id", True)
+    right = blocks(banded(places, "place_id").unionByName(whole(places, "place_id", "core")), "place_id", False)
+    met = split_join(left, right).select("store_id", "place_id").unionByName(proposed).distinct()
+    # whether a pair shares a band or is proposed, from its own bands
+    bands = lambda e, key: e.select(key, F.col("bands").alias(f"{key}_bands"))
+    p = met.join(bands(stores, "store_id"), "store_id").join(bands(places, "place_id"), "place_id").join(proposed.withColumn("prop", F.lit(True)), ["store_id", "place_id"], "left")
+    return p.select("store_id", "place_id", (F.arrays_overlap("store_id_bands", "place_id_bands") | F.col("prop").isNotNull()).alias("banded"))
 
 
 FEATURES = ("exact", "near", "kind_same", "kind_differs", "house_same", "street_same", "street_differs", "far_unknown", "log_m", "within_150", "beyond_1000", "no_place", "proposed", "rare", "blind", "point_only")
