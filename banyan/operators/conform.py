@@ -14,6 +14,16 @@ def pick(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def ordinal(df: DataFrame, keys: list[str], order: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with the number of each row within its key, by a whole-number order: counted by block of order numbers first, so a hot key is many tasks."""
+    d = df.withColumn("__block", F.floor(F.col(order) / block))
+    n = d.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    before = n.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    on = reduce(lambda a, b: a & b, (F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "__block")))
+    j = d.alias("d").join(before.alias("b"), on).select("d.*", "__before")
+    return j.withColumn(name, F.row_number().over(W.partitionBy(*keys, "__block").orderBy(order)) + F.col("__before")).drop("__block", "__before")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return pick(df, keys, F.asc(order))
 

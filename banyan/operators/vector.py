@@ -23,6 +23,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(1e-9))
 
 
+def _best(group: np.ndarray, tie: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k greatest scores of each group, ties to the smaller."""
+    order = np.lexsort((tie, -score, group))
+    g = group[order]
+    start = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    rank = np.arange(len(g)) - np.maximum.accumulate(np.where(start, np.arange(len(g)), 0)) if len(g) else np.zeros(0, int)
+    return order[rank < k]
+
+
 def knn(vectors: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
     """(key, score): the k nearest by cosine; a partial top-k in each task, then one merge."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -50,13 +59,16 @@ def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int
                 return
             x = np.array(t["v"].to_pylist(), dtype=np.float64)
             x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
-            order = np.argsort(ids[~q], kind="stable")
-            items, y = ids[~q][order], x[~q][order]
+            names, items, y = ids[q], ids[~q], x[~q]
             s = np.round(x[q] @ y.T, 4)
-            for i, name in enumerate(ids[q]):
-                best = np.argsort(-s[i], kind="stable")[: k + 1]  # ties in the order of ids
-                best = [j for j in best if items[j] != name][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best)), pa.array([items[j] for j in best]), pa.array(s[i][best])], ["query", "item", "score"])
+            s[names[:, None] == items[None, :]] = -np.inf
+            if len(items) > k:  # what cannot be among the k best goes; ties at the border stay until they are ranked
+                border = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                a, b = np.nonzero((s >= border) & np.isfinite(s))
+            else:
+                a, b = np.nonzero(np.isfinite(s))
+            keep = _best(a, np.argsort(np.argsort(items, kind="stable"), kind="stable")[b], s[a, b], k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[a[keep]].tolist()), pa.array(items[b[keep]].tolist()), pa.array(s[a, b][keep])], ["query", "item", "score"])
 
         held, at = [], None
         for b in batches:
@@ -81,8 +93,8 @@ def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, sim) of all pairs a < b with a cosine of at least `least`.
+def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 2048, k: int | None = None) -> DataFrame:
+    """(a, b, sim) of all pairs a < b with a cosine of at least `least`, or of the k most similar b of each a in each pair of blocks.
 
     Vectors are packed into blocks of about `block` rows; a pair of blocks is one matrix product in one task, so nothing is broadcast
     and no pair of rows is shuffled.
@@ -96,18 +108,23 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(t: pa.Table, p: int, q: int) -> Iterator[pa.RecordBatch]:
-            k = np.array(t["k"].to_pylist(), dtype=object)
+            names = np.array(t["k"].to_pylist(), dtype=object)
             m = np.array(t["v"].to_pylist(), dtype=np.float64)
             m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
             g = t["g"].to_numpy()
             i, j = np.flatnonzero(g == p), np.flatnonzero(g == q)
             s = m[i] @ m[j].T
-            for x, y in (np.nonzero(s >= least - 5e-5),):
-                a, b = k[i[x]], k[j[y]]
-                ok = a < b if p == q else a != b
-                if ok.any():
-                    a, b, w = a[ok], b[ok], np.round(s[x, y][ok], 4)
-                    yield pa.RecordBatch.from_arrays([pa.array([min(u, z) for u, z in zip(a, b)]), pa.array([max(u, z) for u, z in zip(a, b)]), pa.array(w)], ["a", "b", "sim"])
+            s = np.round(s, 4)
+            x, y = np.nonzero(s >= least)
+            a, b, w = names[i[x]], names[j[y]], s[x, y]
+            ok = a < b if p == q else a != b
+            a, b, w = np.minimum(a, b)[ok], np.maximum(a, b)[ok], w[ok]
+            if k is not None and len(a):
+                codes, tie = np.unique(np.concatenate([a, b]), return_inverse=True)
+                keep = _best(tie[: len(a)], tie[len(a) :], w, k)
+                a, b, w = a[keep], b[keep], w[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.tolist()), pa.array(b.tolist()), pa.array(w)], ["a", "b", "sim"])
 
         held, at = [], None
         for b in batches:
@@ -130,6 +147,15 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
     return out.filter(F.col("sim") >= least)
 
 
+def dense(scores: DataFrame, key: str, feature: str, value: str, most: int = 4096) -> DataFrame:
+    """(k, v): each key's values as a vector over the sorted features, of which there are at most `most`."""
+    names = [r[0] for r in scores.select(feature).filter(F.col(feature).isNotNull()).distinct().orderBy(feature).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} features: use sparse_similarity")
+    v = F.array(*(F.coalesce(F.sum(F.when(F.col(feature) == n, F.col(value).cast("double"))), F.lit(0.0)) for n in names))
+    return scores.groupBy(F.col(key).alias("k")).agg(v.alias("v"))
+
+
 def top_edges(pairs: DataFrame, k: int) -> DataFrame:
     """At most k edges for each a, the most similar first."""
     return pairs.withColumn("__rn", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), F.asc("b")))).filter(F.col("__rn") <= k).drop("__rn")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from banyan.functions import text
@@ -60,7 +59,7 @@ def source_priority(t):
 
 @query("SELECT ingest_id, row_number() OVER (PARTITION BY store_id ORDER BY ingest_id)::BIGINT AS ordinal FROM review_fact")
 def ordinal_in_group(t):
-    return t.review_fact.select("ingest_id", F.row_number().over(W.partitionBy("store_id").orderBy("ingest_id")).cast("bigint").alias("ordinal"))
+    return conform.ordinal(t.review_fact.select("store_id", "ingest_id"), ["store_id"], "ingest_id", "ordinal").select("ingest_id", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
 @query("""SELECT store_id, source_name, string_agg(DISTINCT match_confidence, '|' ORDER BY match_confidence) AS confidences, count(*)::BIGINT AS n FROM store_source_map GROUP BY store_id, source_name""")
@@ -262,17 +261,8 @@ def review_sentiment(t):
     return r.select("ingest_id", aspects.review_sentiment(F.col("rating_5"), F.col("x")).alias("s"))
 
 
-@query("""SELECT store_id, text FROM (SELECT store_id, string_agg(review_text, ' ' ORDER BY ingest_id) AS text FROM review_fact WHERE batch_no = 0 AND rating_5 = 1 GROUP BY store_id)""")
-def text_blob(t):
-    """The texts of each store with the lowest rating, in the order of arrival."""
-    r = t.review_fact.filter("batch_no = 0 and rating_5 = 1 and review_text is not null")
-    g = r.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("ingest_id", "review_text"))).alias("l"))
-    allr = t.review_fact.filter("batch_no = 0 and rating_5 = 1").select("store_id").distinct()
-    return allr.join(g, "store_id", "left").select("store_id", F.array_join(F.transform("l", lambda x: x["review_text"]), " ").alias("text"))
-
-
 @query("SELECT store_id, string_agg(review_text, ' ' ORDER BY ingest_id) AS text FROM review_fact GROUP BY store_id")
-def text_blob_all(t):
+def text_blob(t):
     """The texts of all reviews of each store in the order of arrival, joined in parts of 1,024 ids first."""
     r = t.review_fact.select("store_id", F.floor(F.col("ingest_id") / 1024).alias("part"), "ingest_id", "review_text")
     joined = lambda l, c: F.when(F.size(l) > 0, F.array_join(F.transform(F.sort_array(l), lambda x: x[c]), " "))

@@ -165,7 +165,7 @@ def neighbors_expand(t):
     return gq.neighbours(t.nation.filter("n_nationkey in (0, 7, 12)").select("n_nationkey"), e, "weight", 8)
 
 
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT ward AS a, district AS b FROM store_master WHERE ward IS NOT NULL AND district IS NOT NULL AND trim(ward) <> '' AND length(ward) > 5 AND length(district) > 5),
+_CC = """WITH RECURSIVE e AS (SELECT DISTINCT ward AS a, district AS b FROM store_master WHERE ward IS NOT NULL AND district IS NOT NULL),
 u AS (SELECT 'w:' || a AS a, 'd:' || b AS b FROM e UNION SELECT 'd:' || b, 'w:' || a FROM e),
 c(node, reach) AS (SELECT a, a FROM u UNION SELECT c.node, u.b FROM c JOIN u ON c.reach = u.a)
 SELECT node, min(reach) AS component FROM c GROUP BY node"""
@@ -174,7 +174,7 @@ SELECT node, min(reach) AS component FROM c GROUP BY node"""
 @query(_CC)
 def community_components(t):
     """Components of the graph of wards and districts."""
-    e = t.store_master.filter("ward is not null and district is not null and trim(ward) <> '' and length(ward) > 5 and length(district) > 5").select(F.concat(F.lit("w:"), "ward").alias("a"), F.concat(F.lit("d:"), "district").alias("b")).distinct()
+    e = t.store_master.filter("ward is not null and district is not null").select(F.concat(F.lit("w:"), "ward").alias("a"), F.concat(F.lit("d:"), "district").alias("b")).distinct()
     n = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return community.components(n, e)
 

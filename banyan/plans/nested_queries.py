@@ -12,10 +12,10 @@ from banyan.plans.base import query
 _S1 = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_id) AS rn FROM store_master) WHERE rn = 1)"
 
 
-@query("SELECT o_orderkey, coalesce(l.price, o_totalprice) AS price FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) l ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, coalesce(l.price, o_totalprice) AS price FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) l ON o_orderkey = l_orderkey")
 def nested_path_fallback(t):
-    """A value from a nested place, else from the row itself."""
-    l = t.lineitem.filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("price"))
+    """The greatest price of a discounted line, from a nested place, else the total of the order itself."""
+    l = t.lineitem.filter("l_discount > 0.05").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("price"))
     d = t.orders.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_totalprice", F.struct(F.struct("price").alias("info")).alias("detail"))
     return d.select("o_orderkey", nested.at_path(d, "detail.info.price", "detail.price", "o_totalprice").alias("price"))
 
@@ -23,21 +23,22 @@ def nested_path_fallback(t):
 @query("SELECT row_id, canonical_name AS name, district FROM store_master")
 def drop_nested_fields(t):
     """A nested record without its image fields."""
-    d = t.store_master.select("row_id", F.struct(F.col("canonical_name").alias("name"), F.lit("x").alias("image_url"), F.struct("district", F.lit("y").alias("photo")).alias("place")).alias("r"))
+    d = t.store_master.select("row_id", F.struct(F.col("canonical_name").alias("name"), F.col("google_website").alias("image_url"), F.struct("district", F.col("google_phone").alias("photo")).alias("place")).alias("r"))
     return d.select("row_id", nested.without_fields("r", d.schema["r"].dataType, ("image", "photo", "thumbnail", "picture")).alias("r")).select("row_id", "r.name", "r.place.district")
 
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k, 1::BIGINT AS keys FROM events")
 def drop_map_keys(t):
-    m = nested.map_without(F.map_concat(text.map_or_empty(F.col("props")), F.create_map(F.lit("photo_1"), F.lit("x"))), ("photo", "image"))
+    m = nested.map_without(F.map_concat(text.map_or_empty(F.col("props")), F.create_map(F.lit("photo_1"), F.col("event_type"))), ("photo", "image"))
     return t.events.select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].cast("bigint").alias("k"), F.size("m").cast("bigint").alias("keys"))
 
 
-@query("SELECT event_id, event_type AS a, 'new' AS b FROM events")
+@query("""SELECT row_id, CASE WHEN google_name IS NOT NULL THEN google_name ELSE canonical_name END AS name, CASE WHEN google_phone IS NOT NULL THEN google_phone END AS phone, (1 + (google_phone IS NOT NULL)::INT)::BIGINT AS keys FROM store_master""")
 def merge_map_list(t):
-    """A list of maps into one, the last value of a key holds."""
-    maps = F.array(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.lit("old")), F.create_map(F.lit("b"), F.lit("new")))
-    return t.events.select("event_id", nested.merge_maps(maps).alias("m")).select("event_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+    """The maps of two sources into one, the last value of a key holds."""
+    own = F.create_map(F.lit("name"), F.col("canonical_name"))
+    found = F.map_filter(F.create_map(F.lit("name"), F.col("google_name"), F.lit("phone"), F.col("google_phone")), lambda k, v: v.isNotNull())
+    return t.store_master.select("row_id", nested.merge_maps(F.array(own, found)).alias("m")).select("row_id", F.col("m")["name"].alias("name"), F.try_element_at("m", F.lit("phone")).alias("phone"), F.size("m").cast("bigint").alias("keys"))
 
 
 @query(f"WITH {_S1} SELECT store_id, name, flag FROM (SELECT store_id, unnest([{{'name': 'phone', 'flag': (google_phone IS NOT NULL)::INT}}, {{'name': 'website', 'flag': (google_website IS NOT NULL)::INT}}], recursive := true) FROM s)")
@@ -66,11 +67,11 @@ def seed_keys(t):
     return both.select(F.explode(p).alias("p")).groupBy("p.store_id").agg(F.min("p.k").cast("bigint").alias("place"))
 
 
-@query("SELECT store_id, 5.0::DOUBLE AS quality, CASE WHEN n > 3 THEN n END::DOUBLE AS position FROM (SELECT store_id, count(*) AS n FROM store_source_map GROUP BY store_id)")
+@query("SELECT store_id, k::DOUBLE AS quality, CASE WHEN n > 3 THEN n END::DOUBLE AS position FROM (SELECT store_id, count(*) AS n, count(source_url) AS k FROM store_source_map GROUP BY store_id)")
 def labelled_points(t):
     """Points with labels to columns."""
-    s = t.store_source_map.groupBy("store_id").agg(F.count("*").cast("double").alias("n"))
-    p = F.array_compact(F.array(F.struct(F.lit("Chất lượng").alias("key"), F.lit(5.0).alias("value")), F.when(F.col("n") > 3, F.struct(F.lit("Vị trí").alias("key"), F.col("n").alias("value")))))
+    s = t.store_source_map.groupBy("store_id").agg(F.count("*").cast("double").alias("n"), F.count("source_url").cast("double").alias("k"))
+    p = F.array_compact(F.array(F.struct(F.lit("Chất lượng").alias("key"), F.col("k").alias("value")), F.when(F.col("n") > 3, F.struct(F.lit("Vị trí").alias("key"), F.col("n").alias("value")))))
     return s.select("store_id", *nested.labelled(p, {"quality": "Chất lượng", "position": "Vị trí"}))
 
 

@@ -40,7 +40,7 @@ _PAIRS = f"SELECT x.vec_id AS a, y.vec_id AS b, round({_COS.format(a='x.embeddin
 @query(f"SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM ({_PAIRS}) WHERE sim >= 0.3) WHERE k <= 8")
 def sim_edges_cosine(t):
     """At most eight edges for each vector to later ones."""
-    return vector.top_edges(vector.similar_pairs(t.embeddings, "vec_id", "embedding", 0.3), 8)
+    return vector.top_edges(vector.similar_pairs(t.embeddings, "vec_id", "embedding", 0.3, k=8), 8)
 
 
 _ATTR = "SELECT store_id, source_name AS f, round(avg(rating_5), 4) AS v FROM review_fact WHERE rating_5 IS NOT NULL GROUP BY ALL"
@@ -48,11 +48,11 @@ _ATTR = "SELECT store_id, source_name AS f, round(avg(rating_5), 4) AS v FROM re
 
 @query(f"""WITH s AS (SELECT s_suppkey AS k, p_brand AS f, count(*)::DOUBLE AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), n AS (SELECT k, sqrt(sum(v * v)) AS n FROM s GROUP BY k),
 p AS (SELECT x.k AS a, y.k AS b, sum(x.v * y.v) AS d FROM s x JOIN s y ON x.f = y.f AND x.k < y.k GROUP BY ALL)
-SELECT a, b, round(d / (na.n * nb.n + 1e-9), 4) AS sim FROM p JOIN n na ON a = na.k JOIN n nb ON b = nb.k WHERE round(d / (na.n * nb.n + 1e-9), 4) >= 0.45""")
+SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS i FROM (SELECT a, b, round(d / (na.n * nb.n + 1e-9), 4) AS sim FROM p JOIN n na ON a = na.k JOIN n nb ON b = nb.k) WHERE sim >= 0.45) WHERE i <= 8""")
 def sim_edges_attribute(t):
-    """Cosine of sparse vectors: suppliers by the brands they ship."""
+    """At most eight edges of each supplier to later ones, by the cosine of the brands they ship."""
     s = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("v"))
-    return vector.sparse_similarity(s, "l_suppkey", "p_brand", "v", 0.45)
+    return vector.top_edges(vector.similar_pairs(vector.dense(s, "l_suppkey", "p_brand", "v"), "k", "v", 0.45, k=8), 8)
 
 
 _G = "g AS (SELECT store_id, row_number() OVER (ORDER BY be_rating_avg DESC, store_id) AS rank FROM (SELECT store_id, max(be_rating_avg) AS be_rating_avg FROM store_master GROUP BY 1) QUALIFY rank <= 30)"
@@ -185,11 +185,11 @@ def answer_context(t):
     return context(hybrid_retrieve(t), "score", "store_id", "name")
 
 
-@query("""WITH d AS (SELECT district, count(DISTINCT store_id)::BIGINT AS stores, round(avg(be_rating_avg), 2) AS rating FROM store_master WHERE length(district) > 5 GROUP BY 1) SELECT district, 'Khu ' || district || ': ' || stores || ' quán, điểm ' || printf('%.2f', rating) AS report FROM d""")
+@query("""WITH d AS (SELECT district, count(DISTINCT store_id)::BIGINT AS stores, round(avg(be_rating_avg), 2) AS rating FROM store_master WHERE district IS NOT NULL GROUP BY 1) SELECT district, 'Khu ' || district || ': ' || stores || ' quán, điểm ' || printf('%.2f', rating) AS report FROM d""")
 def community_report(t):
     from banyan.operators.docs import report
 
-    d = t.store_master.filter("length(district) > 5").groupBy("district").agg(F.countDistinct("store_id").alias("stores"), F.round(F.avg("be_rating_avg"), 2).alias("rating"))
+    d = t.store_master.filter("district is not null").groupBy("district").agg(F.countDistinct("store_id").alias("stores"), F.round(F.avg("be_rating_avg"), 2).alias("rating"))
     return d.select("district", report(F.col("district"), F.col("stores"), F.col("rating")).alias("report"))
 
 
@@ -198,12 +198,12 @@ def embed_texts(t):
     """Vectors of texts by a model that is passed in; here one that hashes words."""
     from banyan.operators.docs import embed, hashing_encoder
 
-    return embed(t.documents.filter("text is not null"), "doc_id", "text", hashing_encoder(32)).select("doc_id", F.size("embedding").alias("size"))
+    return embed(t.documents, "doc_id", "text", hashing_encoder(32))
 
 
 @query("""SELECT store_id, source_name, ingest_id FROM (SELECT DISTINCT store_id FROM store_master) LEFT JOIN review_fact USING (store_id)""")
 def nested_explode_outer(t):
-    """Nested reviews of stores back to rows; a store without reviews keeps one row of nulls."""
-    n = t.review_fact.groupBy("store_id").agg(F.collect_list(F.struct("source_name", "ingest_id")).alias("reviews"))
+    """Nested reviews of stores, in parts of 1,024 ids, back to rows; a store without reviews keeps one row of nulls."""
+    n = t.review_fact.groupBy("store_id", F.floor(F.col("ingest_id") / 1024).alias("part")).agg(F.collect_list(F.struct("source_name", "ingest_id")).alias("reviews"))
     s = t.store_master.select("store_id").distinct().join(n, "store_id", "left")
     return s.select("store_id", F.explode_outer("reviews").alias("r")).select("store_id", "r.source_name", "r.ingest_id")
