@@ -38,30 +38,37 @@ def knn(vectors: DataFrame, query: list[float], key: str, vector: str, k: int) -
     return vectors.select(key, F.round(cosine(F.col(vector), q), 4).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """(query, item, score, rank): the k nearest other vectors of each query, exactly.
+def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096, query_block: int = 1024, item_key: str | None = None) -> DataFrame:
+    """(query, item, score, rank): the k nearest vectors of each query, exactly; without `item_key` both sides have the key, and no row is its own hit.
 
     A block of queries meets a block of vectors as one matrix product in one task, which gives the k best of each query; these are merged.
+    Null vectors take no part.
     """
+    own_hits = item_key is not None
+    item = item_key or key
+    queries, vectors = queries.filter(F.col(vector).isNotNull()), vectors.filter(F.col(vector).isNotNull())
     n, m = (max(1, -(-d.count() // b)) for d, b in ((vectors, block), (queries, query_block)))
-    kind = dict(vectors.dtypes)[key]
+    kinds = dict(queries.dtypes)[key], dict(vectors.dtypes)[item]
 
     def side(d: DataFrame, is_q: bool) -> DataFrame:
-        d = d.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.lit(is_q).alias("is_q"))
-        own = F.pmod(F.xxhash64("k"), F.lit(m if is_q else n)).cast("int")
+        k, other = (F.col(key), F.lit(None).cast(kinds[1])) if is_q else (F.lit(None).cast(kinds[0]), F.col(item))
+        d = d.select(k.alias("k"), other.alias("i"), F.col(vector).cast("array<double>").alias("v"), F.lit(is_q).alias("is_q"))
+        own = F.pmod(F.xxhash64("k" if is_q else "i"), F.lit(m if is_q else n)).cast("int")
         others = F.explode(F.sequence(F.lit(0), F.lit((n if is_q else m) - 1)))
-        return d.select((own if is_q else others).alias("h"), "k", "v", "is_q", (others if is_q else own).alias("g"))
+        return d.select((own if is_q else others).alias("h"), "k", "i", "v", "is_q", (others if is_q else own).alias("g"))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids, q = np.array(t["k"].to_pylist(), dtype=object), t["is_q"].to_numpy(zero_copy_only=False)
+            q = t["is_q"].to_numpy(zero_copy_only=False)
+            ids = np.where(q, np.array(t["k"].to_pylist(), dtype=object), np.array(t["i"].to_pylist(), dtype=object))
             if not q.any() or q.all():
                 return
             x = np.array(t["v"].to_pylist(), dtype=np.float64)
             x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
             names, items, y = ids[q], ids[~q], x[~q]
             s = np.round(x[q] @ y.T, 4)
-            s[names[:, None] == items[None, :]] = -np.inf
+            if not own_hits:
+                s[names[:, None] == items[None, :]] = -np.inf
             if len(items) > k:  # what cannot be among the k best goes; ties at the border stay until they are ranked
                 border = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
                 a, b = np.nonzero((s >= border) & np.isfinite(s))
@@ -88,7 +95,7 @@ def search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int
             yield from run(pa.concat_tables(held))
 
     both = side(queries, True).unionByName(side(vectors, False))
-    hits = both.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(products, f"query {kind}, item {kind}, score double")
+    hits = both.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(products, f"query {kinds[0]}, item {kinds[1]}, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), F.asc("item"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -89,13 +89,6 @@ def weighted_fusion(t):
     return fusion.fuse_weighted("store_id", parts, r).withColumn("score", F.round("score", 8))
 
 
-@query(f"WITH {_FUSED} SELECT f.store_id, name, round(score, 8) AS score FROM f JOIN (SELECT store_id, min(canonical_name) AS name FROM store_master GROUP BY 1) m ON f.store_id = m.store_id ORDER BY round(score, 8) DESC, f.store_id LIMIT 5")
-def hybrid_retrieve(t):
-    g, v, best, r = _lists(t)
-    f = fusion.fuse_rrf("store_id", {"graph": g, "vector": v}, best, r).withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "store_id").limit(5)
-    return f.join(t.store_master.groupBy("store_id").agg(F.min("canonical_name").alias("name")), "store_id").select("store_id", "name", "score")
-
-
 @query("""WITH a AS (SELECT store_id, source_name AS attribute, avg(rating_5) / 2.5 - 1 AS value FROM review_fact WHERE rating_5 IS NOT NULL GROUP BY ALL)
 SELECT store_id, round((greatest(0, (coalesce(max(CASE WHEN attribute = 'google' THEN value END), -1) + 1) / 2) + greatest(0, (coalesce(max(CASE WHEN attribute = 'foody' THEN value END), -1) + 1) / 2)) / 2, 6) AS score FROM a GROUP BY store_id""")
 def attribute_match(t):
@@ -177,12 +170,18 @@ def store_docs(t):
     return s.join(r, "store_id", "left").select("store_id", F.concat_ws("\n", F.concat(F.lit("Tên quán: "), "canonical_name"), F.concat(F.lit("Nhóm: "), "primary_category"), "reviews").alias("doc"))
 
 
+def _five(t):
+    g, v, best, r = _lists(t)
+    f = fusion.fuse_rrf("store_id", {"graph": g, "vector": v}, best, r).withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "store_id").limit(5)
+    return f.join(t.store_master.groupBy("store_id").agg(F.min("canonical_name").alias("name")), "store_id").select("store_id", "name", "score")
+
+
 @query(f"WITH {_FUSED}, h AS (SELECT f.store_id, name, round(score, 8) AS score FROM f JOIN (SELECT store_id, min(canonical_name) AS name FROM store_master GROUP BY 1) m ON f.store_id = m.store_id ORDER BY round(score, 8) DESC, f.store_id LIMIT 5) SELECT string_agg(row_number || '. ' || name || ' (' || printf('%.4f', score) || ')', chr(10) ORDER BY row_number) AS context FROM (SELECT *, row_number() OVER (ORDER BY score DESC, store_id) AS row_number FROM h)")
 def answer_context(t):
     """The text that an answering model gets, from the five best stores."""
     from banyan.operators.docs import context
 
-    return context(hybrid_retrieve(t), "score", "store_id", "name")
+    return context(_five(t), "score", "store_id", "name")
 
 
 @query("""WITH d AS (SELECT district, count(DISTINCT store_id)::BIGINT AS stores, round(avg(be_rating_avg), 2) AS rating FROM store_master WHERE district IS NOT NULL GROUP BY 1) SELECT district, 'Khu ' || district || ': ' || stores || ' quán, điểm ' || printf('%.2f', rating) AS report FROM d""")
