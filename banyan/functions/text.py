@@ -208,3 +208,17 @@ PROMO = r"\b(uu dai|voucher|giam|tang|khuyen mai|combo|mua 2 tang 1|shorten asia
 
 def promo_flag(c: Column) -> Column:
     return F.coalesce(norm_text(c).rlike(PROMO), F.lit(False)).cast("int")
+
+
+def jsonish(c: Column, path: str) -> Column:
+    """The value at a path of a JSON object, or of a literal with single quotes; else the text as it is."""
+    return F.coalesce(F.get_json_object(c, path), F.get_json_object(F.translate(c, "'", '"'), path), c)
+
+
+def join_field(parts: Column) -> Column:
+    return F.concat_ws("; ", parts)
+
+
+def after_word(c: Column, words: str) -> Column:
+    """The part of an address, between commas or dashes, that begins with one of the words (a pattern), without it."""
+    return F.nullif(F.trim(F.regexp_extract(c, rf"(?iu)(?:^|[,\-])\s*(?:{words})\s*([^,\-]+)", 1)), F.lit(""))

@@ -59,3 +59,42 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     error = F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))
     tagged = df.withColumn("error", error)
     return tagged.filter("error is null").drop("error"), tagged.filter("error is not null")
+
+
+def by_column(keys: list[str], sources: dict[str, DataFrame], chains: dict[str, list[tuple[str, str]]], defaults: dict[str, object] | None = None) -> DataFrame:
+    """One row a key of any source: each column by its own chain of (source, column), the first value that is there, then its default.
+
+    Each source has one row a key; blank text counts as missing.
+    """
+    every = reduce(DataFrame.union, (d.select(*keys) for d in sources.values())).distinct()
+    for n, d in sources.items():
+        used = sorted({c for chain in chains.values() for s, c in chain if s == n})
+        every = every.join(d.select(*keys, *(F.col(c).alias(f"__{n}_{c}") for c in used)), keys, "left")
+    types = {n: dict(d.dtypes) for n, d in sources.items()}
+
+    def value(n: str, c: str) -> Column:
+        v = F.col(f"__{n}_{c}")
+        return F.when(F.trim(v) != "", v) if types[n][c] == "string" else v
+
+    out = []
+    for name, chain in chains.items():
+        parts = [value(n, c) for n, c in chain]
+        if defaults and name in defaults:
+            parts.append(F.lit(defaults[name]))
+        out.append(F.coalesce(*parts).alias(name))
+    return every.select(*keys, *out)
+
+
+def tagged_union(parts: list[tuple[DataFrame, str, str, Column]], key: str) -> DataFrame:
+    """(key, type, value, source) of parts (table, type, source, list of values); of equal values of a type, without regard to case, the first part holds."""
+    rows = [d.select(key, F.lit(kind).alias("type"), F.explode(values).alias("value"), F.lit(source).alias("source"), F.lit(i).alias("__part")) for i, (d, kind, source, values) in enumerate(parts)]
+    u = reduce(DataFrame.unionByName, rows).withColumn("value", F.trim("value")).filter(F.col(key).isNotNull() & (F.col("value") != ""))
+    best = u.groupBy(key, "type", F.lower("value").alias("__v")).agg(F.min(F.struct("__part", "value", "source")).alias("x"))
+    return best.select(key, "type", "x.value", "x.source")
+
+
+def join_suffixed(left: DataFrame, right: DataFrame, keys: list[str], order: str, suffix: str) -> DataFrame:
+    """left with the first row of right for each key; columns that both have get the suffix on the right."""
+    r = first_wins(right, keys, order).drop(order)
+    r = r.select(*keys, *(F.col(c).alias(f"{c}{suffix}" if c in left.columns else c) for c in r.columns if c not in keys))
+    return left.join(r, keys, "left")

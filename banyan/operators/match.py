@@ -1,13 +1,13 @@
-"""Fuzzy matching of records by weighted signals, with blocks by grid cells in place of all pairs."""
+"""Fuzzy matching of records by weighted signals, with the pairs within reach in place of all pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from banyan.functions.geo import geo_score, haversine_m
-from banyan.functions.text import house_number, jaccard, norm_text, token_set, without_house
+from banyan.functions.geo import geo_score
+from banyan.functions.text import house_number, jaccard, norm_text, sequence_ratio, token_set, without_house
+from banyan.operators.near import points_within
 
 
 def cells(lat: Column, lng: Column, size: float, around: bool = False) -> Column:
@@ -23,23 +23,41 @@ def pair_score(geo: Column, house_same: Column, house_differs: Column, name: Col
     return base - F.when(house_differs > 0, 0.30).otherwise(0.0) - F.when((name < 0.35) & (token < 0.10), 0.45).otherwise(0.0)
 
 
-def best_match(left: DataFrame, right: DataFrame, cell: float = 0.011, least: float = 0.5) -> DataFrame:
-    """(left_id, right_id, score, distance_m, confidence): the best candidate of each left row.
+def best_match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(left_id, right_id, score, distance_m, confidence): the best candidate of each left row, ties to the nearer one, then the smaller id.
 
-    Both sides have (id, name, address, lat, lng). Candidates lie in the same or a neighbouring grid cell; beyond about 1200 m the
-    distance scores nothing, so pairs farther apart could reach the least score only with equal house, name and street.
+    Both sides have (id, name, address, lat, lng), and the left one may have query_name and query_address, of which the better agreement counts. Names and
+    streets are compared by the share of matched blocks. Beyond 1,200 m the distance scores nothing and all else .45 at most, so for a
+    least score above that the pairs within 1,200 m, found by the sweep over latitude, are all that can match; pairs whose distance and house
+    number cannot reach it are left out before texts are compared. Rows without coordinates match nothing.
     """
-    prep = lambda d, p: d.select(F.col("id").alias(f"{p}id"), norm_text(F.col("name")).alias(f"{p}n"), house_number(F.col("address")).alias(f"{p}h"), without_house(F.col("address")).alias(f"{p}s"), F.col("lat").alias(f"{p}lat"), F.col("lng").alias(f"{p}lng"))
-    a = prep(left, "l").filter("llat is not null and llng is not null").withColumn("c", F.explode(cells(F.col("llat"), F.col("llng"), cell, True)))
-    b = prep(right, "r").filter("rlat is not null and rlng is not null").withColumn("c", F.explode(cells(F.col("rlat"), F.col("rlng"), cell)))
-    p = a.join(b, "c").withColumn("m", haversine_m(F.col("llat"), F.col("llng"), F.col("rlat"), F.col("rlng"))).filter("m <= 1200")
-    tok = jaccard(token_set(F.col("ln")), token_set(F.col("rn")))
-    longest = F.greatest(F.length("ln"), F.length("rn"))
-    name = F.when(longest > 0, 1 - F.levenshtein("ln", "rn") / longest).otherwise(0.0)
-    street = jaccard(token_set(F.col("ls")), token_set(F.col("rs")))
+    if least <= 0.45:
+        raise ValueError("a least score of .45 or below needs pairs at any distance")
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        text = lambda c: F.coalesce(norm_text(F.col(c)), F.lit("")) if c in d.columns else F.lit("")
+        house = lambda c: house_number(F.col(c)) if c in d.columns else F.lit(None).cast("string")
+        street = lambda c: F.coalesce(without_house(F.col(c)), F.lit("")) if c in d.columns else F.lit("")
+        return d.select(F.col("id").alias(f"{p}id"), text("name").alias(f"{p}n"), text("query_name").alias(f"{p}qn"), F.coalesce(house("address"), house("query_address")).alias(f"{p}h"), street("address").alias(f"{p}s"), street("query_address").alias(f"{p}qs"))
+
+    places = points_within(left.select(F.col("id").alias("lid"), "lat", "lng", F.lit(1200.0).alias("__r")), right.select(F.col("id").alias("rid"), F.col("lat").alias("__lat"), F.col("lng").alias("__lng")), "lid", "rid", "lat", "lng", "__r", "__lat", "__lng")
+    p = places.groupBy("lid", "rid").agg(F.min("distance_m").alias("m")).join(side(left, "l"), "lid").join(side(right, "r"), "rid")
     same = F.coalesce((F.col("lh") == F.col("rh")).cast("double"), F.lit(0.0))
     differs = F.coalesce((F.col("lh") != F.col("rh")).cast("double"), F.lit(0.0))
-    p = p.withColumn("score", F.round(pair_score(geo_score(F.col("m")), same, differs, name, tok, street), 6))
-    w = W.partitionBy("lid").orderBy(F.desc("score"), F.asc("m"), F.asc("rid"))
-    p = p.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") == 1) & (F.col("score") >= least))
-    return p.select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), "score", F.round("m", 1).alias("distance_m"), F.when(F.col("score") >= 0.75, "high").otherwise("medium").alias("confidence"))
+    p = p.withColumns({"geo": geo_score(F.col("m")), "same": same, "differs": differs})
+    p = p.filter(0.55 * F.col("geo") + 0.20 * F.col("same") + 0.25 - 0.30 * F.col("differs") >= least - 1e-9)
+    ratio = lambda a, b: F.when((F.col(a) != "") & (F.col(b) != ""), sequence_ratio(F.col(a), F.col(b))).otherwise(0.0)
+    words = lambda c: token_set(F.col(c))
+    p = p.withColumns({"name": F.greatest(ratio("ln", "rn"), ratio("lqn", "rn")), "street": F.greatest(ratio("ls", "rs"), ratio("lqs", "rs")), "token": F.greatest(jaccard(words("ln"), words("rn")), jaccard(words("lqn"), words("rn")))})
+    p = p.withColumn("score", F.round(pair_score(F.col("geo"), F.col("same"), F.col("differs"), F.col("name"), F.col("token"), F.col("street")), 6)).filter(F.col("score") >= least)
+    best = p.groupBy("lid").agg(F.min_by(F.struct("rid", "score", "m"), F.struct(-F.col("score"), F.col("m"), F.col("rid"))).alias("b"))
+    return best.select(F.col("lid").alias("left_id"), F.col("b.rid").alias("right_id"), F.col("b.score").alias("score"), F.round("b.m", 1).alias("distance_m"), F.when(F.col("b.score") >= 0.75, "high").otherwise("medium").alias("confidence"))
+
+
+def match_with_fallback(left: DataFrame, right: DataFrame, direct: DataFrame, least: float = 0.5) -> DataFrame:
+    """(left_id, right_id, method): the pairs that are given (left_id, right_id), the smallest right id of each, and for all other left rows the best match among the rows that no given pair has."""
+    d = direct.filter(F.col("left_id").isNotNull() & F.col("right_id").isNotNull()).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
+    d = d.join(left.select(F.col("id").alias("left_id")), "left_id", "left_semi").join(right.select(F.col("id").alias("right_id")), "right_id", "left_semi")
+    rest = left.join(d.select(F.col("left_id").alias("id")), "id", "left_anti")
+    free = right.join(d.select(F.col("right_id").alias("id")), "id", "left_anti")
+    return d.select("left_id", "right_id", F.lit("id").alias("method")).unionByName(best_match(rest, free, least).select("left_id", "right_id", F.lit("fuzzy").alias("method")))

@@ -89,9 +89,9 @@ def points_within(
     def good(lat: Column, lng: Column) -> Column:
         return lat.between(s0, s1) & lng.between(e0, e1) & ~F.isnan(lat) & ~F.isnan(lng)
 
-    qs = queries.select(F.col(query_key).alias("key"), *(F.col(c).cast("double").alias(n) for c, n in ((query_lat, "lat"), (query_lng, "lng"), (radius, "reach"))))
+    qs = queries.select(F.col(query_key).cast("string").alias("key"), *(F.col(c).cast("double").alias(n) for c, n in ((query_lat, "lat"), (query_lng, "lng"), (radius, "reach"))))
     qs = qs.filter(F.col("key").isNotNull() & good(F.col("lat"), F.col("lng")) & (F.col("reach") >= 0) & ~F.isnan("reach")).distinct()
-    ps = places.select(F.col(place_key).alias("key"), F.col(place_lat).cast("double").alias("lat"), F.col(place_lng).cast("double").alias("lng"))
+    ps = places.select(F.col(place_key).cast("string").alias("key"), F.col(place_lat).cast("double").alias("lat"), F.col(place_lng).cast("double").alias("lng"))
     ps = ps.filter(F.col("key").isNotNull() & good(F.col("lat"), F.col("lng"))).distinct()
 
     n = ps.count()
@@ -124,8 +124,6 @@ def points_within(
         .unionByName(qs.join(counts, "strip").select("strip", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("pp"), salt("qn").alias("qp"), F.lit(True).alias("is_q"), "key", "lat", "lng", "reach"))
     )
     kinds = dict(queries.dtypes)[query_key], dict(places.dtypes)[place_key]
-    if kinds[0] != kinds[1]:
-        raise TypeError(f"the keys differ in type: {kinds}")
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -147,5 +145,6 @@ def points_within(
         if held:
             yield from pairs(pd.concat(held))
 
-    found = tagged.repartition("strip", "pp", "qp").sortWithinPartitions("strip", "pp", "qp").mapInPandas(parts, f"{query_key} {kinds[0]}, {place_key} {kinds[1]}, distance_m double")
-    return found
+    found = tagged.repartition("strip", "pp", "qp").sortWithinPartitions("strip", "pp", "qp").mapInPandas(parts, f"{query_key} string, {place_key} string, distance_m double")
+    back = [F.col(c) if k == "string" else F.col(c).cast(k).alias(c) for c, k in zip((query_key, place_key), kinds)]
+    return found.select(*back, "distance_m")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from banyan.functions import text
 from banyan.operators import aspects, conform
-from banyan.operators.match import best_match
+from banyan.operators.match import best_match, match_with_fallback
 from banyan.plans.base import query
 from banyan.plans.scalar_queries import norm_sql
 from banyan.sources.files import duplicate_keys, upsert
@@ -160,10 +160,22 @@ def nearest_name_in_radius(t):
 @query(name="fuzzy_match_best")
 def fuzzy_match_best(t):
     """The weighted matcher of delivery sides and map places; a test compares it with a plain version."""
+    return best_match(*_sides(t))
+
+
+def _sides(t):
     s = conform.first_wins(t.store_master, ["store_id"], "row_id")
-    left = s.select(F.col("store_id").alias("id"), F.col("canonical_name").alias("name"), "address", "lat", "lng")
+    left = s.select(F.col("store_id").alias("id"), F.col("canonical_name").alias("name"), "address", F.col("google_query_name").alias("query_name"), F.col("google_query_address").alias("query_address"), "lat", "lng")
     right = s.select(F.col("row_id").alias("id"), F.col("google_name").alias("name"), F.col("google_address").alias("address"), F.col("google_lat").alias("lat"), F.col("google_lng").alias("lng"))
-    return best_match(left, right)
+    return left, right
+
+
+@query(name="match_fallback")
+def match_fallback(t):
+    """Trusted blocks first, then the weighted matcher for all other stores and places."""
+    s = conform.first_wins(t.store_master, ["store_id"], "row_id")
+    direct = s.filter("lower(trim(google_match_confidence)) = 'high' and google_name is not null").select(F.col("store_id").alias("left_id"), F.col("row_id").alias("right_id"))
+    return match_with_fallback(*_sides(t), direct)
 
 
 @query(f"""SELECT row_id, CASE WHEN m <= 250 AND j >= 0.25 THEN 'high' WHEN m IS NULL THEN 'low' ELSE 'medium' END AS confidence, coalesce(m > 800, false)::INT AS suspect FROM (

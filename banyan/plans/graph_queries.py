@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from banyan.functions import text
 from banyan.graph import build, community, query as gq
 from banyan.operators.conform import first_wins
+from banyan.operators.aspects import REVIEW_ASPECTS
 from banyan.plans.base import query
+from banyan.plans.conform_queries import _REVIEWS, _cases, _mentions
 from banyan.plans.scalar_queries import norm_sql
+from banyan.session import durable
 
 SLUG = lambda c: f"regexp_replace({norm_sql(c)}, '\\s+', '_', 'g')"
 
@@ -20,26 +23,83 @@ def _nodes(t):
     fam = [
         build.nodes_of(s, sid("store:", "store_id"), "Store", F.col("canonical_name"), text.json_props("district", "status")),
         build.nodes_of(s.filter("primary_category is not null").select("primary_category").distinct(), F.concat(F.lit("category:"), cat), "Category", F.col("primary_category"), F.lit("{}")),
+        build.nodes_of(s.select(F.explode(text.split_list(F.col("primary_category"))).alias("c")).distinct(), F.concat(F.lit("category:"), text.slugify(F.col("c"))), "Category", F.col("c"), F.lit("{}")),
         build.nodes_of(s.filter("ward is not null and district is not null").select("ward", "district").distinct(), F.concat(F.lit("area:"), text.slugify(F.col("ward")), F.lit(":"), text.slugify(F.col("district"))), "Area", F.col("ward"), text.json_props("district")),
         build.nodes_of(t.review_fact.groupBy("review_id").agg(F.min("sentiment").alias("sentiment")), sid("review:", "review_id"), "Review", F.col("review_id"), text.json_props("sentiment")),
         build.nodes_of(t.store_source_map.select(F.trim("source_name").alias("source_name")).distinct(), F.concat(F.lit("source:"), text.slugify(F.col("source_name"))), "DataSource", text.slugify(F.col("source_name")), F.lit("{}")),
         build.nodes_of(t.user_session_context.select("user_id").distinct(), sid("user:", "user_id"), "User", F.col("user_id"), F.lit("{}")),
         build.nodes_of(t.user_session_context.select("session_id").distinct(), F.col("session_id"), "UserSession", F.col("session_id"), F.lit("{}")),
         build.nodes_of(t.normalized_location.select("location_id").distinct(), sid("location:", "location_id"), "Location", F.col("location_id"), F.lit("{}")),
+        build.nodes_of(t.region.sparkSession.createDataFrame([(a,) for a in REVIEW_ASPECTS], "aspect string"), sid("aspect:", "aspect"), "Aspect", F.col("aspect"), F.lit("{}")),
+        build.nodes_of(_contexts(t).select("kind", "value").distinct(), _context_id(), "ContextTag", F.col("value"), text.json_props("kind")),
+        build.nodes_of(t.user_session_context.filter("trim(desired_service) <> ''").select("desired_service").distinct(), F.concat(F.lit("service:"), text.slugify(F.col("desired_service"))), "ServiceOption", F.col("desired_service"), F.lit("{}")),
+        build.nodes_of(_preferences(t), _preference_id(), "UserPreference", F.col("value"), text.json_props("kind", "weight")),
+        build.nodes_of(t.source_match_quality.select("store_id", "source_name").distinct(), _quality_id(), "SourceMatchQuality", F.col("source_name"), F.lit("{}")),
+        build.nodes_of(_menu(t).select("store_id", "item").distinct(), _item_id(), "MenuItem", F.col("item"), F.lit("{}")),
     ]
     return fam
 
 
-_N = f"""s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_id) AS rn FROM store_master) WHERE rn = 1),
+def _contexts(t):
+    """(session_id, kind, value): what a session asks for, with the parts of its intent."""
+    u = t.user_session_context.select("session_id", "weather_context", "time_context", "intent").distinct()
+    one = lambda k, c: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
+    tags = F.concat(one("weather", F.array("weather_context")), one("time", F.array("time_context")), one("intent", text.split_multi(F.col("intent"))))
+    return u.select("session_id", F.explode(tags).alias("x")).select("session_id", "x.kind", "x.value").filter("trim(value) <> ''")
+
+
+def _context_id():
+    return F.concat(F.lit("context:"), F.col("kind"), F.lit(":"), text.slugify(F.col("value")))
+
+
+def _preferences(t):
+    """(user_id, kind, value, weight), once each: the parts of the intent weigh .85, the service .65."""
+    u = t.user_session_context.select("user_id", "desired_service", "intent").distinct().filter("user_id is not null")
+    one = lambda k, w, c: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit(w).alias("weight")))
+    p = F.concat(one("intent", 0.85, text.split_multi(F.col("intent"))), one("service", 0.65, F.array("desired_service")))
+    return u.select("user_id", F.explode(p).alias("x")).select("user_id", "x.kind", "x.value", "x.weight").filter("trim(value) <> ''").distinct()
+
+
+def _preference_id():
+    return F.concat(F.lit("preference:"), F.col("user_id"), F.lit(":"), F.col("kind"), F.lit(":"), text.slugify(F.col("value")))
+
+
+def _quality_id():
+    return F.concat(F.lit("match_quality:"), F.col("store_id"), F.lit(":"), text.slugify(F.col("source_name")))
+
+
+def _menu(t):
+    """(store_id, item, doc_id): the first dish of each line of a menu text."""
+    d = t.documents.filter("source = 'menu' and store_id is not null").select("store_id", "doc_id", F.trim(F.split("text", ":")[0]).alias("item"))
+    return d.filter("item <> ''")
+
+
+def _item_id():
+    return F.concat(F.lit("menu_item:"), F.col("store_id"), F.lit(":"), text.slugify(F.col("item")))
+
+
+ASPECTS = ", ".join(f"('{a}')" for a in REVIEW_ASPECTS)
+_PARTS = "unnest(list_filter(list_transform(string_split_regex(intent, '[|;]'), lambda x: trim(x)), lambda x: x <> ''))"
+_N = f"""cx AS (SELECT DISTINCT session_id, kind, value FROM (SELECT session_id, 'weather' AS kind, weather_context AS value FROM user_session_context UNION ALL SELECT session_id, 'time', time_context FROM user_session_context UNION ALL SELECT session_id, 'intent', {_PARTS} FROM user_session_context) WHERE trim(value) <> ''),
+pf AS (SELECT DISTINCT user_id, kind, value FROM (SELECT user_id, 'intent' AS kind, {_PARTS} AS value FROM user_session_context UNION ALL SELECT user_id, 'service', desired_service FROM user_session_context) WHERE trim(value) <> '' AND user_id IS NOT NULL),
+mi AS (SELECT store_id, doc_id, trim(string_split(text, ':')[1]) AS item FROM documents WHERE source = 'menu' AND store_id IS NOT NULL AND trim(string_split(text, ':')[1]) <> ''),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_id) AS rn FROM store_master) WHERE rn = 1),
 q AS (SELECT * FROM (SELECT DISTINCT trim(source_name) AS source_name FROM store_source_map)),
 fam AS (SELECT 'store:' || store_id AS node_id, 'Store' AS label, canonical_name AS name, 0 AS f FROM s
 UNION ALL SELECT DISTINCT 'category:' || {SLUG('primary_category')}, 'Category', primary_category, 1 FROM s WHERE primary_category IS NOT NULL
+UNION ALL SELECT DISTINCT 'category:' || {SLUG('c')}, 'Category', c, 1 FROM (SELECT unnest(list_filter(list_transform(string_split_regex(primary_category, '[;|,/]'), lambda x: trim(x)), lambda x: x <> '')) AS c FROM s)
 UNION ALL SELECT DISTINCT 'area:' || {SLUG('ward')} || ':' || {SLUG('district')}, 'Area', ward, 2 FROM s WHERE ward IS NOT NULL AND district IS NOT NULL
 UNION ALL SELECT DISTINCT 'review:' || review_id, 'Review', review_id, 3 FROM review_fact WHERE review_id IS NOT NULL
 UNION ALL SELECT DISTINCT 'source:' || {SLUG('source_name')}, 'DataSource', {SLUG('source_name')}, 4 FROM q WHERE source_name IS NOT NULL
 UNION ALL SELECT DISTINCT 'user:' || user_id, 'User', user_id, 5 FROM user_session_context WHERE user_id IS NOT NULL
 UNION ALL SELECT DISTINCT session_id, 'UserSession', session_id, 6 FROM user_session_context WHERE session_id IS NOT NULL
-UNION ALL SELECT DISTINCT 'location:' || location_id, 'Location', location_id, 7 FROM normalized_location WHERE location_id IS NOT NULL),
+UNION ALL SELECT DISTINCT 'location:' || location_id, 'Location', location_id, 7 FROM normalized_location WHERE location_id IS NOT NULL
+UNION ALL SELECT 'aspect:' || a, 'Aspect', a, 8 FROM (VALUES {ASPECTS}) v(a)
+UNION ALL SELECT DISTINCT 'context:' || kind || ':' || {SLUG('value')}, 'ContextTag', value, 9 FROM cx
+UNION ALL SELECT DISTINCT 'service:' || {SLUG('desired_service')}, 'ServiceOption', desired_service, 10 FROM user_session_context WHERE trim(desired_service) <> ''
+UNION ALL SELECT DISTINCT 'preference:' || user_id || ':' || kind || ':' || {SLUG('value')}, 'UserPreference', value, 11 FROM pf
+UNION ALL SELECT DISTINCT 'match_quality:' || store_id || ':' || {SLUG('source_name')}, 'SourceMatchQuality', source_name, 12 FROM source_match_quality WHERE store_id IS NOT NULL AND source_name IS NOT NULL
+UNION ALL SELECT DISTINCT 'menu_item:' || store_id || ':' || {SLUG('item')}, 'MenuItem', item, 13 FROM mi),
 nodes AS (SELECT node_id, label, max(name) AS name FROM fam GROUP BY node_id, label)"""
 
 
@@ -60,26 +120,49 @@ def _edges(t):
     return [
         build.edges_of(s.filter("primary_category is not null"), store, "HAS_PRIMARY_CATEGORY", F.concat(F.lit("category:"), text.slugify(F.col("primary_category")))),
         build.edges_of(s.filter("ward is not null and district is not null"), store, "LOCATED_IN", F.concat(F.lit("area:"), text.slugify(F.col("ward")), F.lit(":"), text.slugify(F.col("district")))),
-        build.edges_of(t.review_fact, F.concat(F.lit("review:"), F.col("review_id")), "REVIEWS", store, text.json_props("source_name")),
-        build.edges_of(t.store_source_map, store, "HAS_SOURCE_RECORD", F.concat(F.lit("source:"), text.slugify(F.col("source_name"))), text.json_props("match_confidence")),
+        build.edges_of(t.review_fact, F.concat(F.lit("review:"), F.col("review_id")), "REVIEWS", store, text.json_props("source_name"), F.col("ingest_id")),
+        build.edges_of(t.store_source_map, store, "HAS_SOURCE_RECORD", F.concat(F.lit("source:"), text.slugify(F.col("source_name"))), text.json_props("match_confidence"), F.col("map_id")),
         build.edges_of(u, F.concat(F.lit("user:"), F.col("user_id")), "HAS_SESSION", F.col("session_id")),
         build.edges_of(t.normalized_location.select("store_id", "location_id").distinct(), store, "HAS_NORMALIZED_LOCATION", F.concat(F.lit("location:"), F.col("location_id"))),
+        build.edges_of(s.select("store_id", F.explode(text.split_list(F.col("primary_category"))).alias("c")), store, "HAS_CATEGORY", F.concat(F.lit("category:"), text.slugify(F.col("c")))),
+        build.edges_of(_mentions(t).groupBy("store_id", "aspect_name").agg(F.count("*").alias("mentions")), store, "HAS_ASPECT_SENTIMENT", F.concat(F.lit("aspect:"), F.col("aspect_name")), text.json_props("mentions")),
+        build.edges_of(_contexts(t), F.col("session_id"), "REQUESTS_CONTEXT", _context_id()),
+        build.edges_of(_preferences(t), F.concat(F.lit("user:"), F.col("user_id")), "HAS_PREFERENCE", _preference_id(), text.json_props("weight")),
+        build.edges_of(t.source_match_quality.select("store_id", "source_name").distinct(), store, "HAS_SOURCE_MATCH_QUALITY", _quality_id()),
+        build.edges_of(_menu(t), store, "SELLS_MENU_ITEM", _item_id(), text.json_props("doc_id"), F.col("doc_id")),
     ]
 
 
-_E = f"""e AS (SELECT 'store:' || store_id AS source_id, 'HAS_PRIMARY_CATEGORY' AS relation, 'category:' || {SLUG('primary_category')} AS target_id FROM s WHERE primary_category IS NOT NULL
+_E = f"""{_REVIEWS}, m AS ({_cases(REVIEW_ASPECTS)}), e AS (SELECT 'store:' || store_id AS source_id, 'HAS_PRIMARY_CATEGORY' AS relation, 'category:' || {SLUG('primary_category')} AS target_id FROM s WHERE primary_category IS NOT NULL
 UNION ALL SELECT 'store:' || store_id, 'LOCATED_IN', 'area:' || {SLUG('ward')} || ':' || {SLUG('district')} FROM s WHERE ward IS NOT NULL AND district IS NOT NULL
 UNION ALL SELECT 'review:' || review_id, 'REVIEWS', 'store:' || store_id FROM review_fact WHERE review_id IS NOT NULL AND store_id IS NOT NULL
 UNION ALL SELECT 'store:' || store_id, 'HAS_SOURCE_RECORD', 'source:' || {SLUG('source_name')} FROM store_source_map WHERE source_name IS NOT NULL
 UNION ALL SELECT DISTINCT 'user:' || user_id, 'HAS_SESSION', session_id FROM user_session_context WHERE user_id IS NOT NULL AND session_id IS NOT NULL
-UNION ALL SELECT DISTINCT 'store:' || store_id, 'HAS_NORMALIZED_LOCATION', 'location:' || location_id FROM normalized_location)"""
+UNION ALL SELECT DISTINCT 'store:' || store_id, 'HAS_NORMALIZED_LOCATION', 'location:' || location_id FROM normalized_location WHERE store_id IS NOT NULL AND location_id IS NOT NULL
+UNION ALL SELECT 'store:' || store_id, 'HAS_CATEGORY', 'category:' || {SLUG('c')} FROM (SELECT store_id, unnest(list_filter(list_transform(string_split_regex(primary_category, '[;|,/]'), lambda x: trim(x)), lambda x: x <> '')) AS c FROM s)
+UNION ALL SELECT DISTINCT 'store:' || store_id, 'HAS_ASPECT_SENTIMENT', 'aspect:' || aspect_name FROM m WHERE store_id IS NOT NULL
+UNION ALL SELECT session_id, 'REQUESTS_CONTEXT', 'context:' || kind || ':' || {SLUG('value')} FROM cx WHERE session_id IS NOT NULL
+UNION ALL SELECT 'user:' || user_id, 'HAS_PREFERENCE', 'preference:' || user_id || ':' || kind || ':' || {SLUG('value')} FROM pf
+UNION ALL SELECT DISTINCT 'store:' || store_id, 'HAS_SOURCE_MATCH_QUALITY', 'match_quality:' || store_id || ':' || {SLUG('source_name')} FROM source_match_quality WHERE store_id IS NOT NULL AND source_name IS NOT NULL
+UNION ALL SELECT 'store:' || store_id, 'SELLS_MENU_ITEM', 'menu_item:' || store_id || ':' || {SLUG('item')} FROM mi)"""
 _LIVE = f"{_N}, {_E}, live AS (SELECT DISTINCT source_id, relation, target_id FROM e WHERE source_id IN (SELECT node_id FROM nodes) AND target_id IN (SELECT node_id FROM nodes))"
 
 
 @query(f"WITH {_LIVE} SELECT * FROM live")
 def kg_edges(t):
     """Edges both of whose ends exist, once each."""
-    return build.connected(build.all_edges(_edges(t)), build.all_nodes(_nodes(t))).select("source_id", "relation", "target_id")
+    return build.connected(build.all_edges(_edges(t)), durable(build.all_nodes(_nodes(t)).select("node_id"))).select("source_id", "relation", "target_id")
+
+
+@query("""WITH e AS (SELECT 'review:' || review_id AS source_id, 'store:' || store_id AS target_id, ingest_id, json_object('source_name', source_name)::VARCHAR AS properties, (batch_no > 0)::INT AS gen FROM review_fact WHERE review_id IS NOT NULL AND store_id IS NOT NULL)
+SELECT source_id, 'REVIEWS' AS relation, target_id, arg_max(properties, (gen, CASE WHEN gen = 1 THEN ingest_id ELSE -1 END, properties)) AS properties FROM e WHERE target_id IN (SELECT 'store:' || store_id FROM store_master) GROUP BY ALL""")
+def edge_upsert(t):
+    """The reviews of later batches written over the stored edges of the first; the last properties hold."""
+    r = t.review_fact
+    of = lambda d: build.edges_of(d, F.concat(F.lit("review:"), F.col("review_id")), "REVIEWS", F.concat(F.lit("store:"), F.col("store_id")), text.json_props("source_name"), F.col("ingest_id"))
+    nodes = build.all_nodes([n for i, n in enumerate(_nodes(t)) if i in (0, 4)])
+    first = of(r.filter("batch_no = 0")).groupBy("source_id", "relation", "target_id").agg(F.max("properties").alias("properties"))
+    return build.upsert_edges(first, of(r.filter("batch_no > 0")), nodes)
 
 
 @query(f"WITH {_N}, {_E} SELECT source_id AS subject, relation AS predicate, target_id AS object FROM e")
@@ -95,7 +178,7 @@ def kg_relation_histogram(t):
 @query(f"WITH {_LIVE} SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, (SELECT count(*) FROM live)::BIGINT AS edges, (SELECT count(*) FROM e WHERE target_id NOT IN (SELECT node_id FROM nodes))::BIGINT AS dangling")
 def kg_validate(t):
     """Two scalar counts and the edges that dangle; no product of nodes and edges."""
-    n, e = build.all_nodes(_nodes(t)), build.all_edges(_edges(t))
+    n, e = durable(build.all_nodes(_nodes(t)).select("node_id")), durable(build.all_edges(_edges(t)))
     gone = e.join(n.select(F.col("node_id").alias("target_id")), "target_id", "left_anti")
     one = lambda d, c: d.agg(F.count("*").alias(c))
     return one(n, "nodes").crossJoin(one(build.connected(e, n), "edges")).crossJoin(one(gone, "dangling"))  # one row each
@@ -103,7 +186,7 @@ def kg_validate(t):
 
 @query(f"WITH {_LIVE} SELECT target_id AS store, count(*)::BIGINT AS n FROM live WHERE relation = 'REVIEWS' GROUP BY target_id ORDER BY n DESC, store LIMIT 20")
 def kg_top_stores(t):
-    e = build.connected(_edges(t)[2], build.all_nodes([_nodes(t)[0], _nodes(t)[3]]))
+    e = build.connected(_edges(t)[2], build.all_nodes([n for i, n in enumerate(_nodes(t)) if i in (0, 4)]))
     return e.groupBy(F.col("target_id").alias("store")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "store").limit(20)
 
 

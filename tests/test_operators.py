@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from banyan.graph import build, community, query as gq
-from banyan.operators import conform, fusion, vector
-from banyan.operators.match import best_match
+from banyan.operators import conform, fusion, retrieval, vector
+from banyan.operators.match import best_match, match_with_fallback
 from banyan.sources import files
 
 
@@ -107,34 +108,25 @@ def test_search_against_brute_force(spark):
 def test_best_match_against_all_pairs(spark):
     """The blocked matcher against a plain one over all pairs."""
     import math
+    from difflib import SequenceMatcher
 
     rng = np.random.default_rng(4)
     names = ["pho bo", "bun cha", "che sen", "tra chanh", "com tam"]
     rec = lambda i: (int(i), names[rng.integers(5)], f"{rng.integers(1, 4)} bach mai", 21.0 + rng.uniform(0, 0.03), 105.8 + rng.uniform(0, 0.03))
-    left, right = [rec(i) for i in range(40)], [rec(i) for i in range(60)]
+    left = [(*rec(i), names[rng.integers(5)] if i % 2 else None) for i in range(40)]
+    right = [rec(i) for i in range(60)]
 
     def metres(a, b):
         h = math.sin(math.radians(b[3] - a[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
         return 2 * 6_371_000 * math.asin(math.sqrt(h))
 
-    def edits(x, y):
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            row = _next(row, i, c, y)
-        return row[-1]
-
-    def _next(row, i, c, y):
-        out = [i]
-        for j, d in enumerate(y, 1):
-            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
-        return out
-
     def score(a, b):
         m = metres(a, b)
         geo = next((s for limit, s in ((40, 1.0), (80, 0.95), (150, 0.88), (300, 0.75), (500, 0.55), (800, 0.35), (1200, 0.18)) if m <= limit), 0.0)
-        name = 1 - edits(a[1], b[1]) / max(len(a[1]), len(b[1]))
-        ta, tb = set(a[1].split()), set(b[1].split())
-        token = len(ta & tb) / len(ta | tb)
+        asked = [x for x in (a[1], a[5]) if x]
+        name = max(SequenceMatcher(None, x, b[1]).ratio() for x in asked)
+        tb = set(b[1].split())
+        token = max(len(set(x.split()) & tb) / len(set(x.split()) | tb) for x in asked)
         same = a[2] == b[2]
         return 0.55 * geo + 0.20 * same + 0.17 * name + 0.05 * token + 0.03 - (0 if same else 0.30) - (0.45 if name < 0.35 and token < 0.10 else 0), m
 
@@ -144,5 +136,48 @@ def test_best_match_against_all_pairs(spark):
         if best and -best[0] >= 0.5:
             want[a[0]] = best[2]
     s = "id int, name string, address string, lat double, lng double"
-    got = {r["left_id"]: r["right_id"] for r in best_match(spark.createDataFrame(left, s), spark.createDataFrame(right, s)).collect()}
+    got = {r["left_id"]: r["right_id"] for r in best_match(spark.createDataFrame(left, s + ", query_name string"), spark.createDataFrame(right, s)).collect()}
     assert got == want and len(want) > 5
+    direct = spark.createDataFrame([(0, 59), (0, 58), (1, 999), (None, 3)], "left_id int, right_id int")
+    f = {r["left_id"]: (r["right_id"], r["method"]) for r in match_with_fallback(spark.createDataFrame(left, s + ", query_name string"), spark.createDataFrame(right, s), direct).collect()}
+    assert f[0] == (58, "id") and all(m == "fuzzy" and j != 58 for i, (j, m) in f.items() if i)
+    with pytest.raises(ValueError):
+        best_match(spark.createDataFrame(left, s + ", query_name string"), spark.createDataFrame(right, s), 0.4)
+
+
+def test_retrieval_steps(spark):
+    q = spark.createDataFrame([(1, "quán trà sữa ở quận tân bình, giá rẻ"), (2, ""), (3, "trà")], "query long, x string")
+    d = spark.createDataFrame([("Tân Bình",), ("Bình",), (None,)], "district string")
+    c = spark.createDataFrame([("Trà sữa",), ("Trà",), ("Cơm",)], "category string")
+    i = retrieval.intents(q, d, c, {"giá": "price", "rẻ": "price"})
+    assert rows(i) == sorted([(1, "district", "Bình"), (1, "category", "Trà sữa"), (1, "category", "Trà"), (1, "attribute", "price"), (3, "category", "Trà")])
+    given = spark.createDataFrame([(1, "category", "Cơm"), (3, "category", "  ")], "query long, kind string, value string")
+    assert rows(retrieval.override(i, given)) == sorted([(1, "district", "Bình"), (1, "category", "Cơm"), (1, "attribute", "price"), (3, "category", "Trà")])
+    stores = spark.createDataFrame([("a", 4.0, "Bình"), ("b", None, "Bình"), ("c", 5.0, "X")], "store_id string, rating double, district string")
+    cats = spark.createDataFrame([("a", "Trà"), ("a", "Trà sữa"), ("b", "Trà"), ("c", "Trà")], "store_id string, category string")
+    att = spark.createDataFrame([("a", "price", 0.2), ("b", "price", 0.1)], "store_id string, attribute string, score double")
+    g = retrieval.graph_hits(q, i, stores, cats, att, 2)
+    assert rows(g) == [(1, "a", 1), (2, "a", 2), (2, "c", 1), (3, "a", 2), (3, "c", 1)]
+    hits = spark.createDataFrame([(1, "a", 7), (1, "b", 8), (2, "z", 9)], "query long, store_id string, unit long")
+    assert rows(retrieval.in_scope(hits, g.filter("query = 1")).select("unit")) == [(7,), (9,)]
+    e = spark.createDataFrame([("a", "b", 0.5), ("c", "a", 0.9)], "a string, b string, sim double")
+    n = retrieval.expand(retrieval.seeds(g, g, 1), e, stores.select("store_id", "rating"), 5)
+    assert rows(n.filter("query = 1").select("store_id", "rank")) == [("b", 2), ("c", 1)]
+    t = spark.createDataFrame([(1, "a", u, 0.1 * u) for u in range(1, 6)], "query long, store_id string, unit long, score double")
+    f = {(r["query"], r["store_id"]): r for r in retrieval.fuse({"graph": g}, t, stores.select("store_id", "rating"), 5).collect()}
+    assert f[1, "a"]["flags"] == "graph|text" and f[1, "a"]["evidence"] == [5, 4, 3] and abs(f[1, "a"]["score"] - (1 / 61 + 0.5 / 61 + 0.8 / 61)) < 1e-6
+
+
+def test_edges_keep_the_last_properties(spark):
+    n = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    d = spark.createDataFrame([("a", "b", "z", 1), ("a", "b", "c", 2), ("a", "x", "q", 3)], "s string, t string, p string, o long")
+    e = build.edges_of(d, F.col("s"), "R", F.col("t"), F.col("p"), F.col("o"))
+    assert rows(build.connected(e, n)) == [("a", "R", "b", "c")]
+    stored = spark.createDataFrame([("a", "R", "b", "old"), ("b", "R", "a", "kept")], "source_id string, relation string, target_id string, properties string")
+    assert rows(build.upsert_edges(stored, e, n)) == [("a", "R", "b", "c"), ("b", "R", "a", "kept")]
+
+
+def test_ordinals_in_blocks(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else None, i) for i in range(50)], "k string, o long")
+    got = {r["o"]: r["n"] for r in conform.ordinal(df, ["k"], "o", "n", block=8).collect()}
+    assert got == {i: sum((j % 3 == 0) == (i % 3 == 0) for j in range(i + 1)) for i in range(50)}
