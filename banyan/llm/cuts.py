@@ -61,12 +61,14 @@ def words(t: str) -> list[str]:
     return WORDLIKE.findall(DIGITS.sub("0", THOUSANDS.sub("", t)))
 
 
-def _undecorated(s: str, window: int = 1024) -> str:
+def _undecorated(s: str, window: int = 128) -> str:
     """s without the decoration at its end, which is sought from the end on, however long it is."""
     while True:
-        tail = s[-window:]
+        end = s.rstrip()
+        size = max(window, len(s) - max(end.rfind(" "), end.rfind("\n")) + 64)  # a link is one long word
+        tail = s[-size:]
         n = DECOR.sub("", tail)
-        if n or len(s) <= window:
+        if n or len(s) <= size:
             return s[: len(s) - len(tail)] + n
         s = s[: len(s) - len(tail)]
 
