@@ -181,7 +181,7 @@ def without_house(c: Column) -> Column:
 def phone(c: Column) -> Column:
     """Digits only, the country code 84 as a leading 0."""
     d = F.regexp_replace(c, "[^0-9]", "")
-    return F.nullif(F.when(d.startswith("84") & (F.length(d) >= 10), F.concat(F.lit("0"), F.substring(d, 3, 100))).otherwise(d), F.lit(""))
+    return F.nullif(F.when(d.startswith("84") & (F.length(d) >= 10), F.concat(F.lit("0"), F.substring(d, F.lit(3), F.length(d)))).otherwise(d), F.lit(""))
 
 
 def clock(c: Column) -> Column:

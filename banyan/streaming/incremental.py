@@ -29,7 +29,7 @@ def windowed(df: DataFrame, time: str, length: str, keys: list[str], *measures:
     if delay and df.isStreaming:
         df = df.withWatermark(time, delay)
     w = F.window(time, length, slide) if slide else F.window(time, length)
-    return df.groupBy(w, *keys).agg(*measures).select(F.col("window.start").alias("start"), *keys, *(m._jc.toString().split(" AS ")[-1] for m in measures))
+    return df.groupBy(w, *keys).agg(*measures).withColumn("start", F.col("window.start")).drop("window")
 
 
 def sessions(df: DataFrame, time: str, gap: str, key: str, *measures: Column) -> DataFrame:
