@@ -152,7 +152,7 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _deletes(c):
     """The string and all strings with one character less."""
-    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(10000))))))
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
 
 
 def spellings(named: DataFrame) -> DataFrame:
@@ -196,14 +196,14 @@ def locate(records: DataFrame) -> DataFrame:
     return r.join(better, ["district", "street"], "left").select("rec", "store_id", "district", F.coalesce("better", "street").alias("street"), "alleys", "house")
 
 
-def same_house(records: DataFrame, salts: int = 8) -> DataFrame:
+def same_house(records: DataFrame, most: int = 1000) -> DataFrame:
     """(rec_a, rec_b): pairs of records of different stores that denote the same house, the smaller key first."""
     key = ["district", "street", "alleys", "house"]
     k = durable(locate(records).select(F.xxhash64(*key).alias("k"), "rec", "store_id", *key))
     many = k.groupBy("k").agg(F.min("store_id").alias("lo"), F.max("store_id").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("k", "n")
     k = k.join(many, "k")
-    # records of a house with many of them are spread: each left record meets all parts of the right side
-    parts = F.when(F.col("n") > 1000, salts).otherwise(1)
+    # each left record meets all parts of the right side, of about `most` records each
+    parts = F.ceil(F.col("n") / most).cast("int")
     left = k.select(*key, "k", F.col("rec").alias("rec_a"), F.col("store_id").alias("store_a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     right = k.select(*key, "k", F.col("rec").alias("rec_b"), F.col("store_id").alias("store_b"), F.pmod(F.xxhash64("rec"), parts).cast("int").alias("salt"))
     pairs = left.join(right, ["k", "salt", *key]).filter((F.col("rec_a") < F.col("rec_b")) & (F.col("store_a") != F.col("store_b")))
