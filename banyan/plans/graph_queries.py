@@ -292,3 +292,17 @@ def community_context(t):
     k = community_components(t)
     s = t.store_master.groupBy("district").agg(F.countDistinct("store_id").alias("stores"), F.round(F.avg("be_rating_avg"), 4).alias("rating")).withColumn("node", F.concat(F.lit("d:"), "district"))
     return k.join(s, "node").groupBy("component").agg(F.count("*").alias("districts"), F.sum("stores").alias("stores"), F.round(F.max("rating"), 4).alias("best"))
+
+
+@query(
+    f"""{_CC_ALL}, r AS (SELECT store_id, max(be_rating_avg) AS rating, min(district) AS district FROM store_master WHERE store_id IS NOT NULL GROUP BY 1),
+w AS (SELECT component, store_id, row_number() OVER (PARTITION BY component ORDER BY rating DESC NULLS LAST, store_id) AS rank FROM k JOIN r ON k.node = 'd:' || r.district QUALIFY rank <= 30),
+x AS (SELECT store_id, ingest_id, review_text, row_number() OVER (PARTITION BY store_id ORDER BY rating_5 DESC NULLS LAST, ingest_id) AS n FROM review_fact WHERE review_text IS NOT NULL QUALIFY n <= 2)
+SELECT component, w.store_id, rank, n, review_text AS line FROM w LEFT JOIN x ON w.store_id = x.store_id"""
+)
+def community_texts(t):
+    """The thirty best stores of each component with two texts each: what a report is written from."""
+    s = t.store_master.filter("store_id is not null").groupBy("store_id").agg(F.max("be_rating_avg").alias("rating"), F.min("district").alias("district")).withColumn("node", F.concat(F.lit("d:"), "district"))
+    w = gq.first_n(s.join(community_components(t), "node").select("component", "store_id", "rating"), "component", 30, F.desc_nulls_last("rating"), F.asc("store_id"))
+    x = gq.first_n(t.review_fact.filter("review_text is not null").select("store_id", "rating_5", "ingest_id", "review_text"), "store_id", 2, F.desc_nulls_last("rating_5"), F.asc("ingest_id"))
+    return w.join(x.select("store_id", F.col("rank").alias("n"), F.col("review_text").alias("line")), "store_id", "left").select("component", "store_id", "rank", "n", "line")

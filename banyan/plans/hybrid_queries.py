@@ -150,3 +150,11 @@ def ablation_metrics(t):
         m = retrieval_metrics(hits, rel, 5).agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("questions"), F.count_if(F.col("recall") > 0).alias("found")).withColumn("run", F.lit(n))
         out = m if out is None else out.unionByName(m)
     return out.select("run", "mrr", "questions", "found")
+
+
+@query(name="community_levels")
+def community_levels(t):
+    """Communities of stores over their similarity, level by level, by local moves that raise the modularity; a test plants communities."""
+    from banyan.graph.community import levels
+
+    return levels(_stores(t).select(F.col("store_id").alias("node")), durable(_edges(t)), weight="sim")

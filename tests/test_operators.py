@@ -181,3 +181,20 @@ def test_ordinals_in_blocks(spark):
     df = spark.createDataFrame([("hot" if i % 3 else None, i) for i in range(50)], "k string, o long")
     got = {r["o"]: r["n"] for r in conform.ordinal(df, ["k"], "o", "n", block=8).collect()}
     assert got == {i: sum((j % 3 == 0) == (i % 3 == 0) for j in range(i + 1)) for i in range(50)}
+
+
+def test_levels_find_planted_communities(spark):
+    """Five dense groups, joined in two pairs and one alone: the groups first, then modularity decides whether they merge; an isolated node stays alone."""
+    rng = np.random.default_rng(3)
+    edges = [(g * 10 + i, g * 10 + j, 1.0) for g in range(5) for i in range(8) for j in range(i + 1, 8) if rng.uniform() < 0.8]
+    edges += [(0, 10, 0.5), (21, 32, 0.5), (3, 12, 0.5)]
+    nodes = spark.createDataFrame([(g * 10 + i,) for g in range(5) for i in range(8)] + [(99,)], "node long")
+    e = spark.createDataFrame(edges, "a long, b long, weight double")
+    out = community.levels(nodes, e).collect()
+    first = {r["node"]: r["community"] for r in out if r["level"] == 0}
+    last = {r["node"]: r["community"] for r in out if r["level"] == max(x["level"] for x in out)}
+    assert len(first) == 41 and first[99] == 99
+    assert all(len({last[g * 10 + i] for i in range(8)}) == 1 for g in range(5)) and 5 <= len(set(last.values())) <= 6
+    q = community.modularity(spark.createDataFrame(list(last.items()), "node long, community long"), e).first()[0]
+    assert q > 0.7
+    assert {r["community"] for r in community.levels(nodes.limit(2), e.filter("false")).collect()} == {r["node"] for r in nodes.limit(2).collect()}
