@@ -38,7 +38,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """The fields in their order; what df lacks is written empty, what it has besides is left out."""
     cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
