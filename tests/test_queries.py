@@ -47,13 +47,13 @@ def test_query(spark, duck, name):
 
 
 def test_blobs_hold_all_reviews(spark):
-    blobs = registry.QUERIES["text_blob_all"](spark, D)
+    blobs = registry.QUERIES["text_blob"](spark, D)
     r = spark.read.parquet(f"{D}/review_fact.parquet").filter("review_text is not null").selectExpr("sum(length(review_text)) n", "count(*) c", "count(distinct store_id) g").first()
     assert blobs.selectExpr("sum(length(text))").first()[0] == r.n + r.c - r.g
 
 
 def test_dates_of_all_forms(spark):
-    dates = registry.QUERIES["date_multi_parse_all"](spark, D)
+    dates = registry.QUERIES["date_multi_parse"](spark, D)
     short = spark.read.parquet(f"{D}/be_ratings.parquet").filter("trim(rated_at) rlike '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2} '").join(dates, "rating_row")
     assert dates.count() == spark.read.parquet(f"{D}/be_ratings.parquet").count() and short.filter("at is null or at not like '20%'").count() == 0
 
