@@ -7,7 +7,8 @@ shared folder holds, for each hash partition and each segment, a Bloom filter, t
 rows of reviews, and the own words of all rows; a manifest names the segments, so that any later process opens the store and goes on.
 A batch is screened with the Bloom filters; positives are looked up by binary search in the blocks of sorted files that may hold them
 (memory-mapped where the folder is mounted, read by block elsewhere), so the cost follows the batch, not the history.
-Candidates are verified by the share of words that they have in common in order. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
+Candidates are verified by the share of words that they have in common in order, after sets of bits have ruled out what cannot
+have enough words in common. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
 segments of about one size have gathered they are merged, so a fingerprint is sought in few files after any number of batches.
 
 Defined results: null, empty and tag-only texts, and texts with fewer than `MIN_CHARS` characters of own words, are neither kept
@@ -169,6 +170,29 @@ def fingerprints(words: list[list[str]], keys: list[str]) -> tuple[np.ndarray, n
         return _mix(least[take] ^ salt[row[take]]).view(np.int64), np.bincount(row[take], minlength=len(n))
 
 
+#: Words of 64 bits in a text's set of word bits.
+LANES = 8
+
+
+def word_bits(words: list[list[str]]) -> np.ndarray:
+    """Of each text with words, a set of 64 * LANES bits with the bit of each word: (texts, LANES)."""
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    if not len(n):
+        return np.zeros((0, LANES), np.uint64)
+    h = _mix(np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum())))
+    bit, lane = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(LANES)
+    starts = np.cumsum(n) - n
+    return np.stack([np.bitwise_or.reduceat(np.where(lane == i, bit, np.uint64(0)), starts) for i in range(LANES)], 1)
+
+
+def may_be_same(new: dict[str, np.ndarray], old: dict[str, np.ndarray]) -> np.ndarray:
+    """False only where same_account is false: bits that the other text lacks are words of the shorter one that it lacks, at most two fifths."""
+    shorter = old["n"] <= new["n"]
+    a, b = new["bits"], old["bits"]
+    missing = np.bitwise_count(np.where(shorter[:, None], b & ~a, a & ~b)).sum(1, dtype=np.int64)
+    return missing <= 0.4 * np.where(shorter, old["u"], new["u"]) + 1e-9
+
+
 def same_account(a: list[str], b: list[str], least: float = 0.8) -> bool:
     """True where the words shared in order cover both texts, or the shorter and the head of the longer where one was cut."""
     if a == b:
@@ -254,6 +278,14 @@ def _ipc(t: pa.Table, key: str) -> bytes:
     return sink.getvalue()
 
 
+def _values(a: pa.Array) -> np.ndarray:
+    """A column as an array; fixed bytes as rows of 64-bit words."""
+    if not pa.types.is_fixed_size_binary(a.type):
+        return a.to_numpy()
+    width = a.type.byte_width // 8
+    return np.frombuffer(a.buffers()[1], np.uint64).reshape(-1, width)[a.offset : a.offset + len(a)]
+
+
 class Sorted:
     """A sorted file, of which only the blocks that are asked for are read; `most` of them are kept."""
 
@@ -277,15 +309,16 @@ class Sorted:
             self.blocks[i] = b.column(self.key).to_numpy(), b
         return self.blocks[i]
 
-    def hits(self, keys: np.ndarray, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions in the sorted keys, values of column) of all rows with one of the keys, block by block."""
+    def hits(self, keys: np.ndarray, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+        """(positions in the keys, values of each column) of all rows with one of the keys, block by block."""
         lo, hi = np.maximum(np.searchsorted(self.first, keys) - 1, 0), np.searchsorted(self.first, keys, side="right")
-        for i in np.unique(np.concatenate([np.arange(a, b) for a, b in np.unique(np.stack([lo, hi], 1), axis=0)])) if len(keys) else ():
+        wide = np.flatnonzero(hi - lo > 1)
+        for i in np.unique(np.concatenate([lo[hi > lo], *(np.arange(lo[x], hi[x]) for x in wide)])):
             at = np.flatnonzero((lo <= i) & (i < hi))
             k, b = self.block(int(i))
             q, rows = _ranges(np.searchsorted(k, keys[at]), np.searchsorted(k, keys[at], side="right"))
             if len(q):
-                yield at[q], b.column(column).to_numpy()[rows]
+                yield at[q], *(_values(b.column(c))[rows] for c in columns)
 
     def row(self, key: int) -> pa.RecordBatch | None:
         i = int(np.searchsorted(self.first, key, side="right")) - 1
@@ -345,6 +378,18 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield at, pa.concat_tables(held).combine_chunks()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of several batches together, of `least` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= least:
+            yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(b.num_columns))
+            held = []
+    if held:
+        yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(held[0].num_columns))
+
+
 def _ranges(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the queries and of the hits of [left, right)."""
     n = right - left
@@ -362,6 +407,10 @@ def _fitting(ids: np.ndarray, who: np.ndarray, cells: int = 4_000_000) -> Iterat
         yield ids[j + a], ids[b]
 
 
+#: What the store holds of a text, besides the bits, the number and the number of different ones of its words.
+DOC = ("id", "name", "words", "key")
+
+
 class FingerprintStore:
     """Accepted fingerprints and words in a shared folder, in `parts` hash partitions and segments; see the manifest for what is in it."""
 
@@ -434,11 +483,14 @@ class FingerprintStore:
         """
         spark = sketch.sparkSession
         folder, parts, old_segments, piece = self.folder, self.parts, tuple(self.segments), self.piece
-        docs = sketch.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "name", "words", "key")
+        docs = sketch.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), *DOC)
 
         def write_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t.select(["id", "name", "words", "key"]), "id"))
+                words = [w.split(" ") for w in t["words"].to_pylist()]
+                t = t.select(list(DOC)).append_column("bits", pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), len(words), [None, pa.py_buffer(np.ascontiguousarray(word_bits(words)).tobytes())]))
+                t = t.append_column("n", pa.array([len(w) for w in words], pa.int64())).append_column("u", pa.array([len(set(w)) for w in words], pa.int64()))
+                _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t, "id"))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
         tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -492,12 +544,28 @@ class FingerprintStore:
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files: dict[tuple[str, int], Sorted | None] = {}
 
+            def opened(s: str, part: int) -> Sorted | None:
+                if (s, part) not in files:
+                    files[s, part] = Sorted.open(f"{folder}/docs/{s}/{part}.arrow", "id")
+                return files[s, part]
+
+            def bits(ids: np.ndarray, where: tuple[str, ...]) -> dict[str, np.ndarray]:
+                keys, back = np.unique(ids, return_inverse=True)
+                out = {"bits": np.zeros((len(keys), LANES), np.uint64), "n": np.zeros(len(keys), np.int64), "u": np.zeros(len(keys), np.int64)}
+                for part in np.unique(keys % parts):
+                    at = np.flatnonzero(keys % parts == part)
+                    for s in where:
+                        f = opened(s, int(part)) if len(at) else None
+                        for q, *values in f.hits(keys[at], *out) if f else ():
+                            for c, v in zip(out, values):
+                                out[c][at[q]] = v
+                        at = at[out["n"][at] == 0]
+                return {c: v[back] for c, v in out.items()}
+
             def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str], int, bool]:
                 part = i % parts
                 for s in where:
-                    if (s, part) not in files:
-                        files[s, part] = Sorted.open(f"{folder}/docs/{s}/{part}.arrow", "id")
-                    f = files[s, part]
+                    f = opened(s, part)
                     if f is not None and (r := f.row(i)) is not None:
                         return r.column("name")[0].as_py(), r.column("words")[0].as_py().split(" "), r.column("key")[0].as_py(), s == segment
                 raise KeyError(i)
@@ -505,9 +573,10 @@ class FingerprintStore:
             everywhere = (segment, *reversed(old_segments))
             last: tuple[int, tuple[str, list[str], int, bool]] | None = None
             done = None
-            for b in batches:
+            for a, o in _chunks(batches):
                 out: list[tuple[int, int, int, str, str]] = []
-                for new, old in zip(b.column("new").to_pylist(), b.column("old").to_pylist()):
+                ok = np.flatnonzero(may_be_same(bits(a, (segment,)), bits(o, everywhere)))
+                for new, old in zip(a[ok].tolist(), o[ok].tolist()):
                     if new == done:
                         continue
                     if last is None or last[0] != new:

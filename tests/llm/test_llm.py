@@ -263,6 +263,21 @@ def test_winnowing_keeps_shared_runs():
     assert not set(other) & sets[0] and history.fingerprints([], [])[0].size == 0
 
 
+def test_bits_rule_out_no_same_account():
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(vocab) for _ in range(rng.randrange(6, 60))]
+        texts += [t, t[: max(4, int(len(t) * rng.uniform(0.3, 1)))], [rng.choice(vocab) if rng.random() < 0.15 else w for w in t]]
+    d = {"bits": history.word_bits(texts), "n": np.array([len(t) for t in texts]), "u": np.array([len(set(t)) for t in texts])}
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    may = history.may_be_same({k: v[i] for k, v in d.items()}, {k: v[j] for k, v in d.items()})
+    same = np.array([history.same_account(texts[y], texts[x]) for x, y in zip(i, j)])
+    assert not (same & ~may).any() and same.sum() > 300 and may.mean() < 0.1
+    assert history.word_bits([]).size == 0
+
+
 def test_bloom():
     a = np.arange(1000, dtype=np.int64) * 7919
     packed = history.bloom(a)
