@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from banyan.operators.instants import _viterbi, interpretations, resolve
+from banyan.operators.instants import _viterbi, by_rules, interpretations, resolve
 from banyan.operators.near import haversine_np, points_within
 from banyan.plans import core_problems
 
@@ -175,6 +175,21 @@ def test_the_path_decides_found_rows(spark, monkeypatch):
     assert {x["instant_us"] for x in resolve(r, "source", "k", keep=("k",)).collect()} == {us(2025, 5, 3)}
 
 
+def test_rules_need_no_path(spark):
+    """With rules each row's instant is the path's, whatever its neighbours, so p5_found has no walk in its plan."""
+    d = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(tuple, df.select("tab", "row_key", "instant_us").collect()))
+    times = core_problems._times(spark, d)
+    walked = resolve(interpretations(times, "v", F.col("tz_name"), F.col("crawled_at")), "source", "ord", keep=("tab", "row_key"))
+    found = core_problems.p5_found(spark, d)
+    assert rows(found) == rows(walked)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    crawl = dt.datetime(2025, 6, 1, 1, 0)
+    df = spark.createDataFrame([(i, v, z, crawl) for i, (v, z, _) in enumerate(CASES)], "k int, v string, z string, c timestamp")
+    got = {x["k"]: x["instant_us"] for x in by_rules(df, "v", F.col("z"), F.col("c")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(CASES) if w is not None}
+
+
 def test_core_queries_run(spark):
     d = "/root/testdata/sf0.001"
     for q in core_problems.QUERIES.values():
