@@ -198,3 +198,15 @@ def test_levels_find_planted_communities(spark):
     q = community.modularity(spark.createDataFrame(list(last.items()), "node long, community long"), e).first()[0]
     assert q > 0.7
     assert {r["community"] for r in community.levels(nodes.limit(2), e.filter("false")).collect()} == {r["node"] for r in nodes.limit(2).collect()}
+
+
+def test_best_pairs_across_blocks(spark):
+    """The k best later keys of each key, over any number of blocks, ties to the smaller; null vectors take no part."""
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 4, (60, 3)).astype(float)
+    ids = [f"s{i:02d}" for i in range(60)]
+    df = spark.createDataFrame([*zip(ids, m.tolist()), ("s00x", None)], "id string, v array<double>")
+    s = np.round(m @ m.T / (np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1)) + 1e-9), 4)
+    want = {(ids[i], ids[j], float(s[i, j])) for i in range(60) for j in sorted((j for j in range(i + 1, 60) if s[i, j] >= 0.45), key=lambda j: (-s[i, j], j))[:5]}
+    for block in (7, 100):
+        assert set(rows(vector.top_edges(vector.similar_pairs(df, "id", "v", 0.45, block=block, k=5), 5))) == want
