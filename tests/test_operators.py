@@ -210,3 +210,38 @@ def test_best_pairs_across_blocks(spark):
     want = {(ids[i], ids[j], float(s[i, j])) for i in range(60) for j in sorted((j for j in range(i + 1, 60) if s[i, j] >= 0.45), key=lambda j: (-s[i, j], j))[:5]}
     for block in (7, 100):
         assert set(rows(vector.top_edges(vector.similar_pairs(df, "id", "v", 0.45, block=block, k=5), 5))) == want
+
+
+def test_shared_vectors_against_brute_force(spark):
+    """Items that share vectors: the same edges and hits as row by row, with ties between vectors and within them."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(12, 3))
+    m[5], m[9] = m[4], -m[4]
+    ids = [f"k{i:03d}" for i in rng.permutation(200)]
+    number = dict(zip(ids, rng.integers(0, 13, 200).tolist()))  # 12 has no vector
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "n long, v array<double>")
+    items = spark.createDataFrame([(i, n, i[-1]) for i, n in number.items()], "id string, n long, more string")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 4)
+    have = sorted(i for i in ids if number[i] < 12)
+    sim = lambda a, b: float(s[number[a], number[b]])
+    want = {(a, b, sim(a, b)) for a in have for b in sorted((b for b in have if b > a and sim(a, b) >= 0.3), key=lambda b: (-sim(a, b), b))[:4]}
+    for block, part in ((16, 5), (500, 500)):
+        assert set(rows(vector.top_edges(vector.similar_shared(items, vectors, "id", "n", "v", 0.3, 4, block, part), 4))) == want
+    q = spark.createDataFrame([(i, i % 13) for i in range(20)], "q long, n long")
+    hits = {(i, b, sim_, r + 1) for i in range(20) if i % 13 < 12 for r, (sim_, b) in enumerate(sorted(((float(s[i % 13, number[b]]), b) for b in have), key=lambda x: (-x[0], x[1]))[:7])}
+    assert set(rows(vector.search_shared(q, items, vectors, "q", "id", "n", "v", 7).select("q", "id", "score", "rank"))) == hits
+
+
+def test_levels_in_one_task_as_by_joins(spark, monkeypatch):
+    """Both ways give the same levels, and a graph of this size takes no job a round."""
+    rng = np.random.default_rng(7)
+    names = [f"s{i:03d}" for i in range(60)]
+    pairs = {(i, j) for i in range(60) for j in range(i + 1, 60) if rng.uniform() < (0.6 if i // 12 == j // 12 else 0.03)}
+    e = spark.createDataFrame([(names[i], names[j], float(rng.integers(1, 9)) / 8) for i, j in sorted(pairs)], "a string, b string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "node string")
+    want = rows(community.levels(nodes, e, most=2, rounds=2, one_task=0))
+    assert len({r[1] for r in want}) > 1
+    calls, durable = [], community.durable
+    monkeypatch.setattr(community, "durable", lambda df: calls.append(1) or durable(df))
+    assert rows(community.levels(nodes, e, most=2, rounds=2)) == want and len(calls) == 2
