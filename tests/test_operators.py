@@ -245,3 +245,41 @@ def test_levels_in_one_task_as_by_joins(spark, monkeypatch):
     calls, durable = [], community.durable
     monkeypatch.setattr(community, "durable", lambda df: calls.append(1) or durable(df))
     assert rows(community.levels(nodes, e, most=2, rounds=2)) == want and len(calls) == 2
+
+
+def test_search_is_by_distinct_vectors(spark, monkeypatch):
+    met, search = [], vector.search
+    monkeypatch.setattr(vector, "search", lambda q, v, *a, **b: met.append((q.count(), v.count())) or search(q, v, *a, **b))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "n long, v array<double>")
+    many = spark.range(300).selectExpr("id", "id % 3 as n")
+    assert vector.search_shared(many.withColumnRenamed("id", "q"), many, vectors, "q", "id", "n", "v", 2).count() == 600 and met == [(3, 3)]
+
+
+def test_graph_hits_of_equal_demands(spark):
+    """Any of the categories, each attribute, the district; more stores of one profile than are wanted; a kind or value that nobody has meets nothing."""
+    rng = np.random.default_rng(4)
+    n, d, c, a = 120, ["Bình", "Đống"], ["Cơm", "Trà", "Phở"], ["price", "service", "speed"]
+    st = [(f"s{i:03d}", None if rng.uniform() < 0.1 else float(rng.integers(0, 10)) / 2, d[i % 2] if i % 7 else None) for i in range(n)]
+    ct = [(s, x) for s, _, _ in st for x in c if rng.uniform() < 0.4]
+    at = [(s, x, float(rng.uniform(-1, 1))) for s, _, _ in st for x in a if rng.uniform() < 0.8]
+    w = [(q, k, x) for q in range(40) for k, vs in (("district", d), ("category", c), ("attribute", a)) for x in vs if rng.uniform() < 0.25]
+    w += [(50, "price", "low"), (51, "category", "Bún"), (52, "attribute", "none")]
+    got = {}
+    for q, s, r in rows(retrieval.graph_hits(spark.createDataFrame([(q,) for q in range(53)], "query long"), spark.createDataFrame(w, "query long, kind string, value string"), spark.createDataFrame(st, "store_id string, rating double, district string"), spark.createDataFrame(ct, "store_id string, category string"), spark.createDataFrame(at, "store_id string, attribute string, score double"), 5)):
+        got.setdefault(q, {})[r] = s
+    for q in range(53):
+        asks = {k: {x for p, l, x in w if p == q and l == k} for k in ("district", "category", "attribute", "price")}
+        ok = [s for s in st if (not asks["district"] or s[2] in asks["district"]) and (not asks["category"] or any((s[0], x) in ct for x in asks["category"])) and all(any(y[:2] == (s[0], x) and y[2] >= 0.15 for y in at) for x in asks["attribute"]) and not asks["price"]]
+        assert [x[1] for x in sorted(got.get(q, {}).items())] == [s[0] for s in sorted(ok, key=lambda s: (s[1] is None, -(s[1] or 0), s[0]))[:5]]
+
+
+def test_scores_of_texts_as_by_columns(spark):
+    from banyan.functions import text
+    from banyan.operators import aspects
+
+    words = [w for x in aspects.POLARITY.values() for ws in x for w in ws]
+    rng = np.random.default_rng(6)
+    data = [(i, "  " + "\t ".join(rng.choice(words, rng.integers(0, 20))).upper() + "\u00a0") for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(data, "k long, t string")
+    want = df.select("k", F.explode(aspects.polarity(text.normalize_text(F.col("t")))).alias("attribute", "score"))
+    assert rows(aspects.polarity_scores(df, "k", "t")) == rows(want)
