@@ -65,6 +65,30 @@ def sweep(q: pd.DataFrame, p: pd.DataFrame, pairs_at_once: int = 500_000) -> Ite
             i = j
 
 
+def sweep_tagged(q: pd.DataFrame, p: pd.DataFrame, reaches: tuple[float, float, float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Like sweep, with the reach bounded by whether the tags are the same, one has none, or they differ."""
+    code, _ = pd.factorize(pd.concat([q["tag"], p["tag"]]).replace("", None).to_numpy(dtype=object))
+    a, b = code[: len(q)], code[len(q) :]
+
+    def some(i: np.ndarray, j: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(i) and len(j) and reach >= 0:
+            part = q.iloc[i]
+            for x, y, d in sweep(part.assign(reach=part["reach"].clip(upper=reach)), p.iloc[j]):
+                yield i[x], j[y], d
+
+    same, either, differ = reaches
+    known, other = np.flatnonzero(a >= 0), np.flatnonzero(b >= 0)
+    yield from some(np.flatnonzero(a < 0), np.arange(len(p)), either)
+    yield from some(known, np.flatnonzero(b < 0), either)
+    for i, j, d in some(known, other, differ):
+        apart = a[i] != b[j]
+        yield i[apart], j[apart], d[apart]
+    by_q, by_p = known[np.argsort(a[known], kind="stable")], other[np.argsort(b[other], kind="stable")]
+    for c in np.intersect1d(a[known], b[other]):
+        i, j = (x[slice(*np.searchsorted(k[x], [c, c + 1]))] for x, k in ((by_q, a), (by_p, b)))
+        yield from some(i, j, same)
+
+
 def points_within(
     queries: DataFrame,
     places: DataFrame,
@@ -78,9 +102,14 @@ def points_within(
     bounds: tuple[float, float, float, float] = (-90.0, 90.0, -180.0, 180.0),
     strip_rows: int = 4096,
     max_strips: int = 4096,
+    tag: str | None = None,
+    reaches: tuple[float, float, float] = (0.0, 0.0, 0.0),
 ) -> DataFrame:
     """(query_key, place_key, distance_m) of each pair within the query's radius in metres.
 
+    With `tag`, a text of both sides, `reaches` bound the radius further: of pairs with the same tag, of pairs of which one has none (null or empty), and
+    of pairs with different tags; there are no pairs at a negative one.
+
     `max_strips` bounds the list of strip borders that the driver holds; strips then grow beyond `strip_rows` and
     are split by salts instead.
     """
@@ -89,9 +118,10 @@ def points_within(
     def good(lat: Column, lng: Column) -> Column:
         return lat.between(s0, s1) & lng.between(e0, e1) & ~F.isnan(lat) & ~F.isnan(lng)
 
-    qs = queries.select(F.col(query_key).cast("string").alias("key"), *(F.col(c).cast("double").alias(n) for c, n in ((query_lat, "lat"), (query_lng, "lng"), (radius, "reach"))))
+    tagged_as = lambda: (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag")
+    qs = queries.select(F.col(query_key).cast("string").alias("key"), tagged_as(), *(F.col(c).cast("double").alias(n) for c, n in ((query_lat, "lat"), (query_lng, "lng"), (radius, "reach"))))
     qs = qs.filter(F.col("key").isNotNull() & good(F.col("lat"), F.col("lng")) & (F.col("reach") >= 0) & ~F.isnan("reach")).distinct()
-    ps = places.select(F.col(place_key).cast("string").alias("key"), F.col(place_lat).cast("double").alias("lat"), F.col(place_lng).cast("double").alias("lng"))
+    ps = places.select(F.col(place_key).cast("string").alias("key"), tagged_as(), F.col(place_lat).cast("double").alias("lat"), F.col(place_lng).cast("double").alias("lng"))
     ps = ps.filter(F.col("key").isNotNull() & good(F.col("lat"), F.col("lng"))).distinct()
 
     n = ps.count()
@@ -120,8 +150,8 @@ def points_within(
     counts = F.broadcast(counts)
     salt = lambda n: F.pmod(F.xxhash64("key", "lat", "lng"), F.col(n)).cast("int")
     tagged = (
-        ps.join(counts, "strip").select("strip", salt("pn").alias("pp"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qp"), F.lit(False).alias("is_q"), "key", "lat", "lng", F.lit(None).cast("double").alias("reach"))
-        .unionByName(qs.join(counts, "strip").select("strip", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("pp"), salt("qn").alias("qp"), F.lit(True).alias("is_q"), "key", "lat", "lng", "reach"))
+        ps.join(counts, "strip").select("strip", salt("pn").alias("pp"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qp"), F.lit(False).alias("is_q"), "key", "tag", "lat", "lng", F.lit(None).cast("double").alias("reach"))
+        .unionByName(qs.join(counts, "strip").select("strip", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("pp"), salt("qn").alias("qp"), F.lit(True).alias("is_q"), "key", "tag", "lat", "lng", "reach"))
     )
     kinds = dict(queries.dtypes)[query_key], dict(places.dtypes)[place_key]
 
@@ -130,7 +160,7 @@ def points_within(
             q, p = df[df["is_q"]], df[~df["is_q"]]
             if len(q) and len(p):
                 qk, pk = q["key"].to_numpy(), p["key"].to_numpy()
-                for a, b, d in sweep(q, p):
+                for a, b, d in sweep_tagged(q, p, reaches) if tag else sweep(q, p):
                     yield pd.DataFrame({query_key: qk[a], place_key: pk[b], "distance_m": d})
 
         held: list[pd.DataFrame] = []

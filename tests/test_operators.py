@@ -283,3 +283,22 @@ def test_scores_of_texts_as_by_columns(spark):
     df = spark.createDataFrame(data, "k long, t string")
     want = df.select("k", F.explode(aspects.polarity(text.normalize_text(F.col("t")))).alias("attribute", "score"))
     assert rows(aspects.polarity_scores(df, "k", "t")) == rows(want)
+
+
+def test_best_match_writes_only_pairs_that_can_match(spark):
+    """Equal rows are compared once, and pairs whose distance and house numbers rule them out are not made."""
+    from banyan.operators.match import LEFT, RIGHT, best_match, compared, pairs_in_reach
+
+    step = 0.001  # about 111 m of latitude
+    left = [(i, "pho bo", f"{1 + i % 2} bach mai", 21.0, 105.8) for i in range(300)] + [(300, "pho bo", "bach mai", 21.0, 105.8)]
+    right = [(1000 + 10 * k + i, "pho bo", ("1 bach mai", "bach mai", "9 bach mai")[k % 3], 21.0 + step * (k // 3), 105.8) for k in range(36) for i in range(10)]
+    s = "id int, name string, address string, lat double, lng double"
+    a, b = spark.createDataFrame(left, s), spark.createDataFrame(right, s)
+    l, r = (compared(d, c).groupBy(*c).agg(F.min("id").alias(k)) for d, c, k in ((a, LEFT, "lid"), (b, RIGHT, "rid")))
+    # house 1: all 11 within 1,200 m, 5 without a house within 500 m, none other beyond 40 m; house 2: the one of each other house at its door
+    got = sorted((x["lid"], (x["rid"] - 1000) // 10) for x in pairs_in_reach(l, r, 0.5).collect())
+    near, own = [3 * k + 1 for k in range(5)], [3 * k for k in range(11)]
+    want = [(0, k) for k in sorted([*own, *near, 2])] + [(1, k) for k in sorted([0, *near, 2])] + [(300, k) for k in range(15)]
+    assert got == want
+    best = {x["left_id"]: x["right_id"] for x in best_match(a, b).collect()}
+    assert best == {i: 1010 if i % 2 else 1000 for i in range(301)}
