@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from banyan.functions.geo import haversine_m
 from banyan.llm import addresses
 from banyan.llm.history import fold
-from banyan.session import durable, real_place, real_text
+from banyan.session import durable, real_place, real_text, stored
 
 SAMPLE = 40_000
 #: Kinds of food in the sources' languages (folded), and words that name no shop.
@@ -209,13 +209,35 @@ CELL = 0.02
 BLOCK = 1000
 
 
-def split_join(left: DataFrame, right: DataFrame, rows: int = BLOCK) -> DataFrame:
-    """The join of both on `block`; a block with more than `rows` rows on a side is spread over a grid of parts, each pair in one of them."""
+def hot_blocks(d: DataFrame, name: str, rows: int) -> DataFrame:
+    """(block, parts) of the blocks with more than `rows` rows, counted within tasks: only blocks that are frequent there are shuffled, so that rare rows of a block may be left out of its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+
+        def frequent() -> pa.RecordBatch:
+            got = pa.chunked_array(held).value_counts()
+            many = got.filter(pa.array(got.field("counts").to_numpy() >= min(8, rows)))
+            return pa.RecordBatch.from_arrays([many.field("values"), many.field("counts")], ["block", "n"])
+
+        for b in batches:
+            held.append(b.column(0))
+            if sum(map(len, held)) >= 1 << 20:
+                yield frequent()
+                held = []
+        if held:
+            yield frequent()
+
+    n = d.select("block").mapInArrow(run, f"block {dict(d.dtypes)['block']}, n bigint").groupBy("block").agg(F.sum("n").alias("n"))
+    return n.filter(F.col("n") > rows).select("block", F.ceil(F.col("n") / rows).cast("int").alias(name))
 
-    def many(d: DataFrame, name: str) -> DataFrame:
-        return d.groupBy("block").agg(F.ceil(F.count("*") / rows).cast("int").alias(name)).filter(F.col(name) > 1)
 
-    hot = many(left, "nl").join(many(right, "nr"), "block", "full").fillna(1, ["nl", "nr"])
+def split_join(left: DataFrame, right: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """The join of both on `block`; a block with more than `rows` rows on a side is spread over a grid of parts, each pair in one of them.
+
+    Each side is made twice, to find such blocks and to join, and shuffled once. The blocks to split are broadcast: at most one of `rows` rows.
+    """
+    hot = F.broadcast(stored(hot_blocks(left, "nl", rows).join(hot_blocks(right, "nr", rows), "block", "full").fillna(1, ["nl", "nr"]), "hot-blocks"))
 
     def spread(d: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
         d = d.join(hot, "block", "left").fillna(1, ["nl", "nr"])
@@ -226,10 +248,9 @@ def split_join(left: DataFrame, right: DataFrame, rows: int = BLOCK) -> DataFram
 
 
 def candidates(stores: DataFrame, places: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Distinct (store_id, place_id, banded): the pairs that share a block, and all that are proposed.
+    """Distinct (store_id, place_id): the pairs that share a block, and all that are proposed.
 
-    Pairs of one district, address band or grid neighbourhood are candidates where their cores share a band (banded, as proposed pairs are) or are
-    misspelt forms of each other.
+    Pairs of one district, address band or grid neighbourhood are candidates where their cores share a band or are misspelt forms of each other.
     """
 
     def blocks(e: DataFrame, key: str, around: bool) -> DataFrame:
@@ -242,28 +263,24 @@ def candidates(stores: DataFrame, places: DataFrame, proposed: DataFrame) -> Dat
             F.transform("address_bands", lambda x: F.xxhash64(F.lit("a"), "band", x)),
             F.when(F.col("lat").isNotNull(), F.array(*(F.xxhash64(F.lit("g"), "band", *c) for c in cells))).otherwise(F.array().cast("array<bigint>")),
         )
-        return durable(e.select(F.explode(keys).alias("block"), key))
+        return e.select(F.explode(keys).alias("block"), key)
 
     cols = ["district", "address_bands", "lat", "lng"]
     banded = lambda e, key: e.select(key, *cols, F.explode(F.transform("bands", lambda x: F.xxhash64(F.lit("m"), x))).alias("band"))
     whole = lambda e, key, core: e.select(key, *cols, F.xxhash64(F.lit("w"), core).alias("band"))
-    alike = stores.join(near_cores(stores, places), "core")
+    alike = stored(stores.join(near_cores(stores, places), "core").select("store_id", *cols, "other"), "alike")
     left = blocks(banded(stores, "store_id").unionByName(whole(alike, "store_id", "other")), "store_id", True)
     right = blocks(banded(places, "place_id").unionByName(whole(places, "place_id", "core")), "place_id", False)
-    met = split_join(left, right).select("store_id", "place_id").unionByName(proposed).distinct()
-    # whether a pair shares a band or is proposed, from its own bands
-    bands = lambda e, key: e.select(key, F.col("bands").alias(f"{key}_bands"))
-    p = met.join(bands(stores, "store_id"), "store_id").join(bands(places, "place_id"), "place_id").join(proposed.withColumn("prop", F.lit(True)), ["store_id", "place_id"], "left")
-    return p.select("store_id", "place_id", (F.arrays_overlap("store_id_bands", "place_id_bands") | F.col("prop").isNotNull()).alias("banded"))
+    return split_join(left, right).select("store_id", "place_id").unionByName(proposed).distinct()
 
 
 FEATURES = ("exact", "near", "kind_same", "kind_differs", "house_same", "street_same", "street_differs", "far_unknown", "log_m", "within_150", "beyond_1000", "no_place", "proposed", "rare", "blind", "point_only")
 
 
 def features(pairs: DataFrame, stores: DataFrame, places: DataFrame, proposed: DataFrame) -> DataFrame:
-    """The pairs with their features as an array of doubles."""
-    s = stores.select(*(F.col(c).alias(c if c == "store_id" else f"s_{c}") for c in stores.columns if not c.endswith("bands")))
-    p = places.select(*(F.col(c).alias(c if c == "place_id" else f"p_{c}") for c in places.columns if not c.endswith("bands")))
+    """The pairs, whether they are banded (their cores share a band, or they are proposed), and their features as an array of doubles."""
+    s = stores.select(*(F.col(c).alias(c if c == "store_id" else f"s_{c}") for c in stores.columns if c not in ("name", "address_bands")))
+    p = places.select(*(F.col(c).alias(c if c == "place_id" else f"p_{c}") for c in places.columns if c not in ("name", "address_bands")))
     # how many stores share a core tells chains from single shops
     alone = stores.groupBy("core").agg(F.count("*").alias("same")).filter("same = 1").select(F.col("core").alias("s_core"), F.lit(1.0).alias("alone"))
     s = s.join(alone, "s_core", "left")
@@ -283,7 +300,8 @@ def features(pairs: DataFrame, stores: DataFrame, places: DataFrame, proposed: D
         "log_m": F.coalesce(F.log1p("m") / 10, F.lit(0.6)), "within_150": yes(F.col("m") <= 150), "beyond_1000": yes(F.col("m") > 1000), "no_place": yes(F.col("m").isNull() & F.col("p_street").isNull()), "proposed": F.coalesce("prop", F.lit(0.0)), "rare": F.coalesce("alone", F.lit(0.0)),
         "blind": yes((a == b) & (F.col("prop") == 1) & F.col("m").isNull() & F.col("p_street").isNull()), "point_only": yes((F.col("m") <= 150) & (F.col("p_street").isNull() | F.col("s_street").isNull())),
     }
-    return f.select("store_id", "place_id", "banded", F.array(*(value[x] for x in FEATURES)).alias("x"))
+    banded = F.arrays_overlap("s_bands", "p_bands") | F.col("prop").isNotNull()
+    return f.select("store_id", "place_id", banded.alias("banded"), F.array(*(value[x] for x in FEATURES)).alias("x"))
 
 
 def weak_label(x: np.ndarray) -> np.ndarray:
@@ -393,7 +411,9 @@ def labelled_sample(f: DataFrame) -> np.ndarray:
 
 def match(stores: DataFrame, places: DataFrame, proposed: DataFrame, least: float = 0.5) -> DataFrame:
     """(store_id, place_id, confidence), one to one. Entities need name, core, kind, both bands, lat, lng, district, street, alleys, house."""
-    f = durable(features(candidates(stores, places, proposed), stores, places, proposed))
+    # each step is stored, so that its shuffles are dropped before the next one's are written
+    pairs = stored(candidates(stores, places, proposed), "pairs")
+    f = stored(features(pairs, stores, places, proposed), "features")
     model, _, _ = learn(labelled_sample(f))
     z = model.score(F.col("x"))
     left = durable(f.select("store_id", "place_id", F.round(model.confidence(z), 6).alias("confidence"), F.round(z, 6).alias("z")).filter(F.col("confidence") >= least))

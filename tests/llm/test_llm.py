@@ -288,6 +288,24 @@ def test_bloom():
 # --- 6: entities ---
 
 
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """A stored or durable step drops its shuffles; blocks to split are found without a shuffle of all blocks."""
+    from banyan.session import durable, stored
+
+    def files():
+        got = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(got.size()) if (n := got.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    before = files()
+    df = spark.range(10_000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50)))
+    kept = [keep(d) for keep in (durable, lambda d: stored(d, "kept")) for d in (df.groupBy("k").count(), df.repartition(3))]
+    assert not files() - before
+    assert [d.count() for d in kept] == [50, 10_000, 50, 10_000]
+    blocks = spark.createDataFrame([(1, i) for i in range(2500)] + [(2, i) for i in range(900)] + [(i, i) for i in range(10, 60)], "block bigint, l bigint")
+    assert rows(entities.hot_blocks(blocks, "n", 1000)) == [(1, 3)]
+
+
+
 def test_names_of_shops():
     assert entities.name_parts("Quán Vườn Khuya (Broken Rice)") == ("vuon khuya", "com tam")
     assert entities.name_parts("Rơm Mưa - Gà Rán Kiều Oanh Nguyệt") == ("rom mua kieu oanh nguyet", "ga ran")
