@@ -7,8 +7,8 @@ shared folder holds, for each hash partition and each segment, a Bloom filter, t
 rows of reviews, and the own words of all rows; a manifest names the segments, so that any later process opens the store and goes on.
 A batch is screened with the Bloom filters; positives are looked up by binary search in the blocks of sorted files that may hold them
 (memory-mapped where the folder is mounted, read by block elsewhere), so the cost follows the batch, not the history.
-Candidates are verified by the share of words that they have in common in order, after sets of bits have ruled out what cannot
-have enough words in common. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
+Sets of bits rule out candidates that cannot have enough words in common before a pair is written; the others are verified by the share
+of words that they have in common in order. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
 segments of about one size have gathered they are merged, so a fingerprint is sought in few files after any number of batches.
 
 Defined results: null, empty and tag-only texts, and texts with fewer than `MIN_CHARS` characters of own words, are neither kept
@@ -30,7 +30,7 @@ import shutil
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -407,6 +407,44 @@ def _fitting(ids: np.ndarray, who: np.ndarray, cells: int = 4_000_000) -> Iterat
         yield ids[j + a], ids[b]
 
 
+def _docs(folder: str) -> Callable[[str, int], Sorted | None]:
+    """Opens the file of a segment and part once."""
+    files: dict[tuple[str, int], Sorted | None] = {}
+
+    def opened(s: str, part: int) -> Sorted | None:
+        if (s, part) not in files:
+            files[s, part] = Sorted.open(f"{folder}/docs/{s}/{part}.arrow", "id")
+        return files[s, part]
+
+    return opened
+
+
+def _doc_bits(opened: Callable[[str, int], Sorted | None], ids: np.ndarray, where: tuple[str, ...], parts: int) -> dict[str, np.ndarray]:
+    """The bits, the number and the number of different ones of the words of each id."""
+    keys, back = np.unique(ids, return_inverse=True)
+    out = {"bits": np.zeros((len(keys), LANES), np.uint64), "n": np.zeros(len(keys), np.int64), "u": np.zeros(len(keys), np.int64)}
+    for part in np.unique(keys % parts):
+        at = np.flatnonzero(keys % parts == part)
+        for s in where:
+            f = opened(s, int(part)) if len(at) else None
+            for q, *values in f.hits(keys[at], *out) if f else ():
+                for c, v in zip(out, values):
+                    out[c][at[q]] = v
+            at = at[out["n"][at] == 0]
+    return {c: v[back] for c, v in out.items()}
+
+
+def allowed_pairs(opened: Callable[[str, int], Sorted | None], new: np.ndarray, old: np.ndarray, segment: str, everywhere: tuple[str, ...], parts: int, most: int = 1 << 17) -> Iterator[np.ndarray]:
+    """The distinct (new, old) of a later and an earlier row whose bits allow that they are the same, `most` pairs at a time; nearly all others are never written."""
+    later = new > old
+    new, old = new[later], old[later]
+    for i in range(0, len(new), most):
+        a, b = new[i : i + most], old[i : i + most]
+        ok = may_be_same(_doc_bits(opened, a, (segment,), parts), _doc_bits(opened, b, everywhere, parts))
+        if ok.any():
+            yield np.unique(np.stack([a[ok], b[ok]], 1), axis=0)
+
+
 #: What the store holds of a text, besides the bits, the number and the number of different ones of its words.
 DOC = ("id", "name", "words", "key")
 
@@ -505,15 +543,18 @@ class FingerprintStore:
         who = F.when((F.col("name") == "") | F.col("name").contains("*"), 0).otherwise(F.hash("name"))
         prints = firsts.select("id", who.alias("who"), F.explode("prints").alias("fp")).withColumn("part", F.pmod("fp", F.lit(parts)).cast("int"))
 
+        everywhere = (segment, *reversed(old_segments))
+
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened = _docs(folder)
+
+            def hits(new: list[np.ndarray], old: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                for pair in allowed_pairs(opened, np.concatenate(new), np.concatenate(old), segment, everywhere, parts) if new else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["new", "old"])
+
             for part, t in _groups(batches, "part"):
                 fp, ids, who = t["fp"].to_numpy(), t["id"].to_numpy(), t["who"].to_numpy()
 
-                def hits(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-                    if len(a):
-                        pair = np.unique(np.stack([a, b], 1)[a > b], axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["new", "old"])
-
                 new, old = [], []
                 starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
                 sizes = np.diff(np.concatenate([starts, [len(fp)]]))
@@ -525,7 +566,11 @@ class FingerprintStore:
                 for i in np.flatnonzero(sizes > piece):  # of a frequent fingerprint only the pairs that a name allows, in pieces
                     at = slice(starts[i], starts[i] + sizes[i])
                     for a, b in _fitting(ids[at], who[at]):
-                        yield from hits(a, b)
+                        new.append(a)
+                        old.append(b)
+                        if sum(map(len, new)) >= 1 << 20:
+                            yield from hits(new, old)
+                            new, old = [], []
                 for s in old_segments:
                     filt = _read(f"{folder}/prints/{s}/{part}.bloom")
                     if filt is None:
@@ -535,32 +580,13 @@ class FingerprintStore:
                         for q, at in Sorted.open(f"{folder}/prints/{s}/{part}.arrow", "fp").hits(fp[hit], "id"):
                             new.append(ids[hit[q]])
                             old.append(at)
-                if new:
-                    yield from hits(np.concatenate(new), np.concatenate(old))
+                yield from hits(new, old)
 
         by_print = prints.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id")
         pairs = by_print.mapInArrow(look_up, "new bigint, old bigint").distinct()
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files: dict[tuple[str, int], Sorted | None] = {}
-
-            def opened(s: str, part: int) -> Sorted | None:
-                if (s, part) not in files:
-                    files[s, part] = Sorted.open(f"{folder}/docs/{s}/{part}.arrow", "id")
-                return files[s, part]
-
-            def bits(ids: np.ndarray, where: tuple[str, ...]) -> dict[str, np.ndarray]:
-                keys, back = np.unique(ids, return_inverse=True)
-                out = {"bits": np.zeros((len(keys), LANES), np.uint64), "n": np.zeros(len(keys), np.int64), "u": np.zeros(len(keys), np.int64)}
-                for part in np.unique(keys % parts):
-                    at = np.flatnonzero(keys % parts == part)
-                    for s in where:
-                        f = opened(s, int(part)) if len(at) else None
-                        for q, *values in f.hits(keys[at], *out) if f else ():
-                            for c, v in zip(out, values):
-                                out[c][at[q]] = v
-                        at = at[out["n"][at] == 0]
-                return {c: v[back] for c, v in out.items()}
+            opened = _docs(folder)
 
             def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str], int, bool]:
                 part = i % parts
@@ -570,13 +596,11 @@ class FingerprintStore:
                         return r.column("name")[0].as_py(), r.column("words")[0].as_py().split(" "), r.column("key")[0].as_py(), s == segment
                 raise KeyError(i)
 
-            everywhere = (segment, *reversed(old_segments))
             last: tuple[int, tuple[str, list[str], int, bool]] | None = None
             done = None
             for a, o in _chunks(batches):
                 out: list[tuple[int, int, int, str, str]] = []
-                ok = np.flatnonzero(may_be_same(bits(a, (segment,)), bits(o, everywhere)))
-                for new, old in zip(a[ok].tolist(), o[ok].tolist()):
+                for new, old in zip(a.tolist(), o.tolist()):
                     if new == done:
                         continue
                     if last is None or last[0] != new:

@@ -285,6 +285,24 @@ def test_bloom():
     assert history.bloom_has(packed, 10_000, a + 1).mean() < 0.05
 
 
+def test_pairs_are_ruled_out_before_they_are_written(spark, tmp_path):
+    """Of the pairs of a batch and its history those that the bits allow come out, once each, the later row first."""
+    r = random.Random(8)
+    words = [[f"w{r.randrange(400)}" for _ in range(40)] for _ in range(30)]
+    words += [[*w[:36], "x", "y"] for w in words[:10]]
+    s = "id long, store string, name string, text string"
+    at = [(i, "a", "", " ".join(w)) for i, w in enumerate(words)]
+    store = history.FingerprintStore(str(tmp_path), 4)
+    for k, part in enumerate((at[:20], at[20:])):
+        store.add(store.sketch(spark.createDataFrame(part, s), "id", "store", "name", "text"), f"batch-{k}")
+    new, old = (x.ravel() for x in np.meshgrid(np.arange(20, 40), np.arange(40), indexing="ij"))
+    got = [tuple(x) for p in history.allowed_pairs(history._docs(str(tmp_path)), np.tile(new, 2), np.tile(old, 2), "batch-1", ("batch-1", "batch-0"), 4) for x in p.tolist()]
+    bits = history.word_bits(words)
+    of = lambda i: {"bits": bits[[i]], "n": np.array([len(words[i])]), "u": np.array([len(set(words[i]))])}
+    want = {(a, b) for a in range(20, 40) for b in range(a) if history.may_be_same(of(a), of(b))[0]}
+    assert set(got) == want and len(got) == len(want) and {(30 + i, i) for i in range(10)} <= want and len(want) < 60
+
+
 # --- 6: entities ---
 
 
