@@ -8,7 +8,7 @@ rows of reviews, and the own words of all rows; a manifest names the segments, s
 A batch is screened with the Bloom filters; positives are looked up by binary search in the blocks of sorted files that may hold them
 (memory-mapped where the folder is mounted, read by block elsewhere), so the cost follows the batch, not the history.
 Sets of bits rule out candidates that cannot have enough words in common before a pair is written; the others are verified by the share
-of words that they have in common in order. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
+of words that they have in common in order, where a head of the longer text has enough of them in any order. Rows that repeat no earlier row are accepted into the store. When `FANOUT`
 segments of about one size have gathered they are merged, so a fingerprint is sought in few files after any number of batches.
 
 Defined results: null, empty and tag-only texts, and texts with fewer than `MIN_CHARS` characters of own words, are neither kept
@@ -30,16 +30,19 @@ import shutil
 import unicodedata
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banyan.session import STAND_INS, shared_dir, stored
+from banyan.session import STAND_INS, shared_dir, shuffles_dropped, stored
 
 SHINGLE, WINDOW, MIN_CHARS = 8, 5, 40
 #: Segments of about one size that are merged, and rows of a block of a sorted file.
@@ -84,9 +87,14 @@ def own_words(text: str | None) -> list[str]:
     """The folded own words; none where they have fewer than MIN_CHARS characters."""
     if not text or len(text) < MIN_CHARS:
         return []
-    t = TAG.sub("", fold_ascii(text)).strip(_EDGE)
+    return WORD.findall(THOUSANDS.sub("", _own(TAG.sub("", fold_ascii(text)))))
+
+
+def _own(t: str) -> str:
+    """What is left of a folded text without tags; nothing where that has fewer than MIN_CHARS characters."""
+    t = t.strip(_EDGE)
     if len(t) < MIN_CHARS:
-        return []
+        return ""
     if t.endswith(MORE):
         t = t[: -len(MORE)].rstrip()
     if t.endswith("..."):
@@ -99,9 +107,63 @@ def own_words(text: str | None) -> list[str]:
         if t.startswith(x):
             t = t[len(x) :]
     t = t.strip(_EDGE)
-    if len(t) < MIN_CHARS:
-        return []
-    return WORD.findall(THOUSANDS.sub("", t))
+    return t if len(t) >= MIN_CHARS else ""
+
+
+@cache
+def _folded() -> np.ndarray:
+    """The ASCII character of each code point by fold_ascii, 255 for none; beyond the first plane no character has one."""
+    out = np.full(0x110000, 255, np.uint8)
+    for c in range(0x10000):
+        if len(f := fold_ascii(chr(c))) == 1:
+            out[c] = ord(f)
+    return out
+
+
+_TAGS = [fold(x) for x in TAGS]
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
+
+def own_texts(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """(positions, own words with single spaces) of the texts that have own words; own_words of many texts at once."""
+    take = [i for i, x in enumerate(texts) if x and len(x) >= MIN_CHARS]
+    if not take:
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    long = [texts[i].replace("…", "...") for i in take]
+    n = np.array([len(x) for x in long], dtype=np.int64)
+    c = _folded()[np.frombuffer("".join(long).encode("utf-32-le"), np.uint32)]
+    ends = np.cumsum(np.add.reduceat(c != 255, np.cumsum(n) - n, dtype=np.int64))
+    flat = c[c != 255].tobytes().decode("ascii")
+    tagged = np.zeros(len(long) + 1, bool)
+    for x in _TAGS:
+        at, hits = flat.find(x), []
+        while at >= 0:
+            hits.append(at)
+            at = flat.find(x, at + 1)
+        tagged[np.searchsorted(ends, hits, side="right")] = True
+    own, i = [], 0
+    for j, tag in zip(ends.tolist(), tagged.tolist()):
+        own.append(_own(TAG.sub("", flat[i:j]) if tag else flat[i:j]))
+        i = j
+    # each text ends in a sign, so that words never run on into the next text
+    c = np.frombuffer(("\n".join(own) + "\n").encode(), np.uint8)
+    n = np.array([len(x) + 1 for x in own], dtype=np.int64)
+    digit, sign = (c >= 48) & (c <= 57), (c == 44) | (c == 46)
+    sign[0] = False
+    sign[1:-1] &= digit[:-2] & digit[2:]
+    word = _IN_WORD[c]
+    starts = np.cumsum(n) - n
+    n -= np.add.reduceat(sign, starts, dtype=np.int64)
+    c, word = c[~sign], word[~sign]
+    keep = word.copy()  # the words, and the first sign after each
+    keep[1:] |= word[:-1]
+    n = np.add.reduceat(keep, np.cumsum(n) - n, dtype=np.int64)
+    c = np.where(word, c, 32)[keep]
+    some = n > 0
+    c = np.delete(c, np.cumsum(n)[some] - 1)
+    offsets = np.concatenate([[0], np.cumsum(n[some] - 1)]).astype(np.int32)
+    return np.array(take, dtype=np.int64)[some], pa.Array.from_buffers(pa.string(), int(some.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(c.astype(np.uint8).tobytes())])
 
 
 def folded_name(name: str | None) -> str:
@@ -141,7 +203,20 @@ def fingerprints(words: list[list[str]], keys: list[str]) -> tuple[np.ndarray, n
     n = np.array([len(w) for w in words], dtype=np.int64)
     if not len(n):
         return np.zeros(0, np.int64), n
-    flat = np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum()))
+    return _prints(np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum())), n, keys)
+
+
+def _coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each word, hash of each code, number of words a text) of texts of words with single spaces."""
+    lists = pc.split_pattern(words, " ")
+    d = lists.flatten().dictionary_encode()
+    return d.indices.to_numpy(), np.fromiter(map(_hash, d.dictionary.to_pylist()), np.uint64, len(d.dictionary)), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _prints(flat: np.ndarray, n: np.ndarray, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """fingerprints of the texts with these hashes of words, n a text."""
+    if not len(n):
+        return np.zeros(0, np.int64), n
     salt = np.fromiter((_hash(k) for k in keys), np.uint64, len(keys))
     # short texts have one window over all their words; others k words a window and the least of WINDOW windows
     starts = np.cumsum(n) - n
@@ -179,10 +254,30 @@ def word_bits(words: list[list[str]]) -> np.ndarray:
     n = np.array([len(w) for w in words], dtype=np.int64)
     if not len(n):
         return np.zeros((0, LANES), np.uint64)
-    h = _mix(np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum())))
-    bit, lane = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(LANES)
-    starts = np.cumsum(n) - n
-    return np.stack([np.bitwise_or.reduceat(np.where(lane == i, bit, np.uint64(0)), starts) for i in range(LANES)], 1)
+    return _set_bits(_bit(np.fromiter((_hash(x) for w in words for x in w), np.uint64, int(n.sum()))), n)
+
+
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(hashes) % np.uint64(64 * LANES)).astype(np.int64)
+
+
+def _set_bits(bit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sets of n bits a text."""
+    out = np.zeros((len(n), 64 * LANES), bool)
+    out[np.repeat(np.arange(len(n)), n), bit] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def word_sets(words: pa.Array, most: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, number, number of different ones) of the words of each text of words with single spaces, `most` texts at a time."""
+    out = [(np.zeros((0, LANES), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(words), most):
+        codes, hashes, n = _coded(words.slice(i, most))
+        in_row = np.sort(np.repeat(np.arange(len(n)) << 32, n) | codes)
+        again = in_row[1:][in_row[1:] == in_row[:-1]] >> 32
+        out.append((_set_bits(_bit(hashes)[codes], n), n, n - np.bincount(again, minlength=len(n))))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def may_be_same(new: dict[str, np.ndarray], old: dict[str, np.ndarray]) -> np.ndarray:
@@ -193,13 +288,29 @@ def may_be_same(new: dict[str, np.ndarray], old: dict[str, np.ndarray]) -> np.nd
     return missing <= 0.4 * np.where(shorter, old["u"], new["u"]) + 1e-9
 
 
+def _may_cover(a: list[str], b: list[str], least: float) -> bool:
+    """False only where words of a in order can't cover a and any head of b: a head has no more of them in order than in any order."""
+    left, shared = Counter(a), 0
+    of = left.get
+    for head, x in enumerate(b, 1):
+        if n := of(x):
+            left[x] = n - 1
+            shared += 1
+            if 2 * shared >= least * (len(a) + (len(b) if len(b) - head <= 0.1 * len(b) else head)):
+                return True
+    return False
+
+
 def same_account(a: list[str], b: list[str], least: float = 0.8) -> bool:
     """True where the words shared in order cover both texts, or the shorter and the head of the longer where one was cut."""
     if a == b:
         return True
     if len(a) > len(b):
         a, b = b, a
-    if len(set(a) & set(b)) < 0.6 * len(set(a)):  # cheap, and implied by what follows
+    own = set(a)
+    if len(own.intersection(b)) < 0.6 * len(own):  # cheap, and implied by what follows
+        return False
+    if not _may_cover(a, b, least):
         return False
     m = SequenceMatcher(None, a, b, False)
     blocks = m.get_matching_blocks()
@@ -278,12 +389,14 @@ def _ipc(t: pa.Table, key: str) -> bytes:
     return sink.getvalue()
 
 
-def _values(a: pa.Array) -> np.ndarray:
-    """A column as an array; fixed bytes as rows of 64-bit words."""
+def _values(a: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """The values of these rows; fixed bytes as rows of 64-bit words."""
+    if pa.types.is_string(a.type):
+        return a.take(pa.array(rows)).to_numpy(zero_copy_only=False)
     if not pa.types.is_fixed_size_binary(a.type):
-        return a.to_numpy()
+        return a.to_numpy()[rows]
     width = a.type.byte_width // 8
-    return np.frombuffer(a.buffers()[1], np.uint64).reshape(-1, width)[a.offset : a.offset + len(a)]
+    return np.frombuffer(a.buffers()[1], np.uint64).reshape(-1, width)[a.offset : a.offset + len(a)][rows]
 
 
 class Sorted:
@@ -318,15 +431,7 @@ class Sorted:
             k, b = self.block(int(i))
             q, rows = _ranges(np.searchsorted(k, keys[at]), np.searchsorted(k, keys[at], side="right"))
             if len(q):
-                yield at[q], *(_values(b.column(c))[rows] for c in columns)
-
-    def row(self, key: int) -> pa.RecordBatch | None:
-        i = int(np.searchsorted(self.first, key, side="right")) - 1
-        if i < 0:
-            return None
-        k, b = self.block(i)
-        at = int(np.searchsorted(k, key))
-        return b.slice(at, 1) if at < len(k) and k[at] == key else None
+                yield at[q], *(_values(b.column(c), rows) for c in columns)
 
     def table(self) -> pa.Table:
         return self.reader.read_all()
@@ -434,6 +539,22 @@ def _doc_bits(opened: Callable[[str, int], Sorted | None], ids: np.ndarray, wher
     return {c: v[back] for c, v in out.items()}
 
 
+def _doc_texts(opened: Callable[[str, int], Sorted | None], keys: np.ndarray, where: tuple[str, ...], parts: int) -> tuple[np.ndarray, ...]:
+    """(name, words, key, the place in `where` of its segment) of each of the different ids."""
+    out = np.empty(len(keys), object), np.empty(len(keys), object), np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+    for part in np.unique(keys % parts):
+        at = np.flatnonzero(keys % parts == part)
+        for i, s in enumerate(where):
+            f = opened(s, int(part)) if len(at) else None
+            for q, *values in f.hits(keys[at], "name", "words", "key") if f else ():
+                for o, v in zip(out, (*values, i)):
+                    o[at[q]] = v
+            at = at[out[3][at] < 0]
+    if (out[3] < 0).any():
+        raise KeyError(int(keys[out[3] < 0][0]))
+    return out
+
+
 def allowed_pairs(opened: Callable[[str, int], Sorted | None], new: np.ndarray, old: np.ndarray, segment: str, everywhere: tuple[str, ...], parts: int, most: int = 1 << 17) -> Iterator[np.ndarray]:
     """The distinct (new, old) of a later and an earlier row whose bits allow that they are the same, `most` pairs at a time; nearly all others are never written."""
     later = new > old
@@ -502,13 +623,12 @@ class FingerprintStore:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                words = [own_words(x) for x in b.column("__text").to_pylist()]
-                take = [i for i, w in enumerate(words) if w]
-                words = [words[i] for i in take]
-                s = b.take(pa.array(take, pa.int64()))
-                flat, sizes = fingerprints(words, [x or "" for x in s.column("__key").to_pylist()])
+                take, words = own_texts(b.column("__text").to_pylist())
+                s = b.take(pa.array(take))
+                codes, hashes, n = _coded(words)
+                flat, sizes = _prints(hashes[codes], n, [x or "" for x in s.column("__key").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                cols = [s.column("id"), pa.array([folded_name(x) for x in s.column("__name").to_pylist()], pa.string()), pa.array([" ".join(w) for w in words], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), s.column("key")]
+                cols = [s.column("id"), pa.array([folded_name(x) for x in s.column("__name").to_pylist()], pa.string()), words, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), s.column("key")]
                 yield pa.RecordBatch.from_arrays(cols + [s.column(c) for c in extra], ["id", "name", "words", "prints", "key", *extra])
 
         src = df.select(F.col(row).cast("bigint").alias("id"), F.col(key).cast("string").alias("__key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("key"), F.col(name).alias("__name"), F.col(text).alias("__text"), *extra)
@@ -525,14 +645,16 @@ class FingerprintStore:
 
         def write_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, t in _groups(batches, "part"):
-                words = [w.split(" ") for w in t["words"].to_pylist()]
-                t = t.select(list(DOC)).append_column("bits", pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), len(words), [None, pa.py_buffer(np.ascontiguousarray(word_bits(words)).tobytes())]))
-                t = t.append_column("n", pa.array([len(w) for w in words], pa.int64())).append_column("u", pa.array([len(set(w)) for w in words], pa.int64()))
+                t = t.take(pa.array(np.argsort(t["id"].to_numpy()))).combine_chunks()
+                bits, n, u = word_sets(t["words"].combine_chunks())
+                t = t.select(list(DOC)).append_column("bits", pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), len(n), [None, pa.py_buffer(bits.tobytes())]))
+                t = t.append_column("n", pa.array(n)).append_column("u", pa.array(u))
                 _write(f"{folder}/docs/{segment}/{part}.arrow", _ipc(t, "id"))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
         tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        count = docs.repartition(tasks, "part").sortWithinPartitions("part", "id").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).first()[0]
+        with shuffles_dropped(spark):
+            count = docs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(write_docs, "n bigint").agg(F.sum("n")).first()[0]
 
         # equal texts of one name link to the first of them by aggregation, so that a group of copies of any size sends one row on
         ids = sketch.select("id", "name", F.xxhash64("prints", "words").alias("h"))
@@ -553,8 +675,9 @@ class FingerprintStore:
                     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["new", "old"])
 
             for part, t in _groups(batches, "part"):
-                fp, ids, who = t["fp"].to_numpy(), t["id"].to_numpy(), t["who"].to_numpy()
-
+                order = np.lexsort((t["id"].to_numpy(), t["fp"].to_numpy()))
+                fp, ids, who = (t[c].to_numpy()[order] for c in ("fp", "id", "who"))
+                _write(f"{folder}/prints/{segment}/{part}.arrow", _ipc(pa.table({"fp": fp, "id": ids}), "fp"))  # accept takes out the rows that repeat others
                 new, old = [], []
                 starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
                 sizes = np.diff(np.concatenate([starts, [len(fp)]]))
@@ -582,34 +705,29 @@ class FingerprintStore:
                             old.append(at)
                 yield from hits(new, old)
 
-        by_print = prints.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id")
+        _remove(f"{folder}/prints/{segment}")  # what a failed attempt left
+        by_print = prints.repartition(tasks, "part").sortWithinPartitions("part")  # one whole number is sorted faster than three columns
         pairs = by_print.mapInArrow(look_up, "new bigint, old bigint").distinct()
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opened = _docs(folder)
 
-            def find(i: int, where: tuple[str, ...]) -> tuple[str, list[str], int, bool]:
-                part = i % parts
-                for s in where:
-                    f = opened(s, part)
-                    if f is not None and (r := f.row(i)) is not None:
-                        return r.column("name")[0].as_py(), r.column("words")[0].as_py().split(" "), r.column("key")[0].as_py(), s == segment
-                raise KeyError(i)
-
-            last: tuple[int, tuple[str, list[str], int, bool]] | None = None
-            done = None
+            done = last = None
             for a, o in _chunks(batches):
+                keys, at = np.unique(np.concatenate([a, o]), return_inverse=True)
+                names, words, ks, place = (x.tolist() for x in _doc_texts(opened, keys, everywhere, parts))
                 out: list[tuple[int, int, int, str, str]] = []
-                for new, old in zip(a.tolist(), o.tolist()):
+                for new, old, i, j in zip(a.tolist(), o.tolist(), at[: len(a)].tolist(), at[len(a) :].tolist()):
                     if new == done:
                         continue
-                    if last is None or last[0] != new:
-                        last = (new, find(new, (segment,)))
-                    n, w, k, _ = last[1]
-                    m, v, _, inside = find(old, everywhere)
-                    if names_fit(n, m) and same_account(v, w):
-                        out.append((k, new, old, n, m))
-                        if not n or n == m or not inside:  # whatever old turns out to repeat then fits new; else the next ones are tried too
+                    n, m = names[i], names[j]
+                    if not names_fit(n, m):
+                        continue
+                    if last != new:
+                        last, w = new, words[i].split(" ")
+                    if same_account(words[j].split(" "), w):
+                        out.append((ks[i], new, old, n, m))
+                        if not n or n == m or place[j]:  # whatever old turns out to repeat then fits new; else the next ones are tried too
                             done = new
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["key", "new", "old", "new_name", "old_name"])
@@ -636,13 +754,24 @@ class FingerprintStore:
         links = stored(links, f"links-{segment}")
 
         def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, t in _groups(batches, "part"):
-                _write(f"{folder}/prints/{segment}/{part}.arrow", _ipc(t.select(["fp", "id"]), "fp"))
+            for part, gone in _groups(batches, "part"):
+                f = Sorted.open(f"{folder}/prints/{segment}/{part}.arrow", "fp")
+                if f is None:
+                    continue
+                t = f.table()
+                gone = gone["id"].drop_null().to_numpy()
+                if len(gone):
+                    t = t.filter(pa.array(~np.isin(t["id"].to_numpy(), gone)))
+                    _write(f"{folder}/prints/{segment}/{part}.arrow", _ipc(t, "fp"))
                 _write(f"{folder}/prints/{segment}/{part}.bloom", bloom_file(t["fp"].to_numpy()))
                 yield pa.RecordBatch.from_pydict({"n": pa.array([t.num_rows], pa.int64())})
 
-        first = prints.join(links.select(F.col("new").alias("id")), "id", "left_anti")
-        first.repartition(tasks, "part").sortWithinPartitions("part", "fp", "id").mapInArrow(accept, "n bigint").agg(F.sum("n")).collect()
+        # the files have the fingerprints of all rows: only those of rows that repeat others are sent, and a row without id for each part
+        gone = sketch.select("id", "prints").join(links.select(F.col("new").alias("id")), "id", "left_semi")
+        gone = gone.select(F.explode("prints").alias("fp"), "id").select(F.pmod("fp", F.lit(parts)).cast("int").alias("part"), "id")
+        gone = gone.unionByName(spark.range(0, parts, 1, 1).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("bigint").alias("id")))
+        with shuffles_dropped(spark):
+            gone.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(accept, "n bigint").agg(F.sum("n")).collect()
         self.segments[segment] = count or 0
         self.batches.append(segment)
         self._commit()

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -278,6 +279,58 @@ def test_bits_rule_out_no_same_account():
     assert history.word_bits([]).size == 0
 
 
+def test_own_words_of_many_texts():
+    """Whole columns of texts give the words, fingerprints and sets that one text at a time gives, on odd signs as well."""
+    r = random.Random(3)
+    pieces = [*history.TAGS, "Review: ", "P/S:", "nhé mọi người", "Xem thêm", "...", "… xem thêm", "giao nhanh gọn gàng sạch", "a b", "mười", "1.000,5", *"aA1.,9 \n\t!…đĐăẮéİΣ\u0301\x00🍜;:/ｆﬁ"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(60))) for _ in range(3000)] + [None, "", "!" * 50, "từ, " * 30]
+    want = {i: w for i, x in enumerate(texts) if (w := history.own_words(x))}
+    take, words = history.own_texts(texts)
+    assert take.tolist() == list(want) and words.to_pylist() == [" ".join(w) for w in want.values()] and len(want) > 500
+    codes, hashes, n = history._coded(words)
+    got, expected = history._prints(hashes[codes], n, ["k"] * len(n)), history.fingerprints([*want.values()], ["k"] * len(n))
+    assert all((a == b).all() for a, b in zip(got, expected))
+    bits, n, u = history.word_sets(words, 100)
+    assert (bits == history.word_bits([*want.values()])).all() and n.tolist() == [len(w) for w in want.values()] and u.tolist() == [len(set(w)) for w in want.values()]
+    assert not len(history.own_texts([None, "ok"])[0]) and not len(history.word_sets(history.own_texts([])[1])[1])
+    assert all(len(history.fold_ascii(chr(c))) < 2 for c in range(0x110000) if c != ord("…")) and not any(history.fold_ascii(chr(c)) for c in range(0x10000, 0x110000))
+
+
+def test_words_in_another_order_are_ruled_out_before_they_are_matched(monkeypatch):
+    """The longest blocks are sought only where a head of the longer text may have enough words; no pair that they accept is ruled out."""
+    r = random.Random(5)
+    for _ in range(20_000):
+        a = [r.choice("abcdefgh") for _ in range(r.randrange(14))]
+        b = [x for x in a if r.random() < 0.8] + [r.choice("abcdefgh") for _ in range(r.randrange(6))]
+        may = history._may_cover(*sorted((a, b), key=len), 0.8)
+        with monkeypatch.context() as m:
+            m.setattr(history, "_may_cover", lambda *_: True)
+            assert may or a == b or not history.same_account(a, b)
+    tried = []
+    monkeypatch.setattr(history, "SequenceMatcher", lambda *x: tried.append(x) or SequenceMatcher(*x))
+    a = [f"w{i}" for i in range(30)]
+    assert not history.same_account(a, [f"v{i}" for i in range(30)] + a[10:] + a[:10] + ["x"] * 20) and not tried
+    assert history.same_account(a, a[:-1] + ["x"]) and len(tried) == 1
+
+
+def test_accepted_fingerprints_are_those_of_first_rows(spark, tmp_path):
+    """A batch's files hold, sorted and with their filters, the fingerprints of its first rows and of copies; only those of other repeats are sent to be taken out."""
+    tells = [" ".join(random.Random(i).choices([f"từ{j}" for j in range(300)], k=40)) for i in range(8)]
+    data = [review(i, 0, None, t) for i, t in enumerate(tells)] + [review(10 + i, 0, None, t + " nhé") for i, t in enumerate(tells[:5])] + [review(20, 1, None, tells[0].upper()), review(21, 1, None, tells[7] + " ạ")]
+    df = spark.createDataFrame(data, "i long, b int, s string, n string, t string")
+    got = {d: k for k, d in rows(history.repeated_rows(df, "i", "b", "s", "n", "t", parts=3, folder=str(tmp_path / "s")))}
+    assert got == {10 + i: i for i in range(5)} | {20: 0, 21: 7}
+    held = {}
+    for b in ("batch-0", "batch-1"):
+        for f in sorted((tmp_path / "s" / "prints" / b).glob("*.arrow")):
+            t = history.Sorted.open(str(f), "fp").table()
+            fp, packed = t["fp"].to_numpy(), f.with_suffix(".bloom").read_bytes()
+            assert (np.diff(fp) >= 0).all() and (fp % 3 == int(f.stem)).all()
+            assert history.bloom_has(np.frombuffer(packed, np.uint8, offset=8), int.from_bytes(packed[:8], "little"), fp).all()
+            held.setdefault(b, set()).update(t["id"].to_pylist())
+    assert held == {"batch-0": set(range(8)), "batch-1": set()}
+
+
 def test_bloom():
     a = np.arange(1000, dtype=np.int64) * 7919
     packed = history.bloom(a)
